@@ -18,6 +18,27 @@ def op2_histogram_sort_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ngram_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    out = quality_rules(table(spark, sf_dir, "documents"), columns=["doc_id"])
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log10_perplexity", "n_bytes", "lower", "upper")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_scan
+
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.col("doc_id").cast("string"))
+    out = license_scan(table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path")))
+    return out.select("doc_id", "path", "own_license", "score", "license_file", "license", "licensed_by")
+
+
+def op8_additive_quantisation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op9_minimum_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,4 +69,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .licenses import oracle
+
+    return {"op7_license_scan": oracle()}
