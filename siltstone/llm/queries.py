@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from .common import prepare, table
 
 
+def op1_byte_conv_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_net import classify
+
+    out = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), columns=["doc_id"])
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 def op2_histogram_sort_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import histogram_sort
 
@@ -18,6 +25,12 @@ def op2_histogram_sort_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pitman_yor_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hpylm import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules
 
