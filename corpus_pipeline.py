@@ -1,8 +1,73 @@
-"""The corpus pipeline: stages over documents, each written and read again."""
+"""The corpus pipeline: from raw documents to packed token sequences.
 
-STAGES: list = []
+Every stage works on all that the one before kept; each result is written as Parquet and
+read again as the next stage's documents. All but the last keep the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.llm.common import Scratch, prepare, table
+from siltstone.llm.minhash import near_duplicates
+from siltstone.llm.mixing import mix
+from siltstone.llm.packing import pack
+from siltstone.llm.quality_rules import quality_rules
+from siltstone.llm.suffix_dedup import remove_repeats
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and lie within their language's perplexity bands."""
+    prepare(spark)
+    return quality_rules(docs).filter("kept").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates, that with the least doc_id."""
+    prepare(spark)
+    return near_duplicates(docs).filter("keep").select(*docs.columns)
+
+
+def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of 100-byte strings that start earlier; emptied ones go."""
+    prepare(spark)
+    out = remove_repeats(docs, columns=[c for c in docs.columns if c != "text"])
+    out = out.withColumns({"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")})
+    return out.filter("n_removed < n_bytes").select(*docs.columns)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    prepare(spark)
+    out = mix(docs).filter("copies > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 2048 tokens."""
+    import public_tokenizers
+
+    prepare(spark)
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("near dedup", near_dedup),
+    ("repeat removal", repeat_removal),
+    ("source mix", source_mix),
+    ("packing", packing),
+]
+#: The models and tokenizers are not SQL; tests hold every stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over the documents of sf_dir."""
+    scratch, docs = Scratch(spark), table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = scratch.keep(stage(spark, docs, sf_dir), f"stage{i}")
+        if i:
+            scratch.drop(f"stage{i - 1}")
+    return docs

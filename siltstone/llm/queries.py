@@ -40,7 +40,7 @@ def op4_containment_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import remove_repeats
 
-    return remove_repeats(table(spark, sf_dir, "documents"), columns=["doc_id"], keep=False).drop("kept")
+    return remove_repeats(table(spark, sf_dir, "documents"), columns=["doc_id"], keep=False).drop("kept", "kept_text")
 
 
 def op6_ngram_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

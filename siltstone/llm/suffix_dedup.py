@@ -285,7 +285,7 @@ def covered_ranges(texts: DataFrame, scratch: Scratch, slab: int = 4 << 20, samp
     return met.filter("kind = 1").select("rid", "s", "e").unionByName(more.select("rid", "s", "e"))
 
 
-ADDED = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+ADDED = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string"
 
 
 def _remove(schema: T.StructType, keep: bool):
@@ -304,9 +304,9 @@ def _remove(schema: T.StructType, keep: bool):
                             at = j
                     kept.append(raw[at:])
                     rest = b"".join(kept)
-                    for name, v in (("n_bytes", len(raw)), ("n_removed", len(raw) - len(rest)), ("n_spans", spans), ("kept_sha256", hashlib.sha256(rest).hexdigest()), ("kept", rest if keep else None)):
+                    for name, v in (("n_bytes", len(raw)), ("n_removed", len(raw) - len(rest)), ("n_spans", spans), ("kept_sha256", hashlib.sha256(rest).hexdigest()), ("kept", rest if keep else None), ("kept_text", rest.decode("utf-8", "ignore") if keep else None)):
                         out[name].append(v)
-                kinds = {"kept_sha256": pa.string(), "kept": pa.binary()}
+                kinds = {"kept_sha256": pa.string(), "kept": pa.binary(), "kept_text": pa.string()}
                 cols = [pa.array(out[f.name], kinds.get(f.name, pa.int64())) if f.name in out else b.column(f.name) for f in schema]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
@@ -314,7 +314,10 @@ def _remove(schema: T.StructType, keep: bool):
 
 
 def remove_repeats(df: DataFrame, columns: list[str] | None = None, keep: bool = True, scratch: Scratch | None = None) -> DataFrame:
-    """Rows of df (their `columns`, all by default) with n_bytes, n_removed, n_spans, kept_sha256 and kept (bytes)."""
+    """Rows of df (their `columns`, all by default) with n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) and kept_text.
+
+    A cut may fall inside a character; kept_text leaves such bytes out.
+    """
     scratch = scratch or Scratch(df.sparkSession)
     added = [c.split()[0] for c in ADDED.split(", ")] + ["rid"]
     columns = [c for c in (df.columns if columns is None else columns) if c not in added]
