@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -13,7 +14,7 @@ def normal(frame):
     for r in frame.astype(object).values.tolist():
         row = []
         for x in r:
-            if x is None or x != x:
+            if pd.isna(x):
                 row.append("null")
             elif isinstance(x, bool):
                 row.append(str(x))
