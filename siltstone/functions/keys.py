@@ -57,7 +57,8 @@ def u8_key(x: Column | str) -> Column:
 
 
 def bool_key(x: Column | str) -> Column:
-    return F.when(_c(x), F.lit(b"\x01")).when(~_c(x), F.lit(b"\x00"))
+    c = _c(x).cast("boolean")
+    return F.when(c, F.lit(b"\x01")).when(~c, F.lit(b"\x00"))
 
 
 def timestamp_key(x: Column | str) -> Column:
