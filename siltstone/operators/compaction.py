@@ -43,3 +43,31 @@ def fan_in(manifest: DataFrame, threshold: int, levels: int) -> DataFrame:
 def install(manifest: DataFrame, inputs: DataFrame, output: DataFrame) -> DataFrame:
     """The manifest with the input files (path) replaced by the output rows."""
     return manifest.join(inputs.select("path"), "path", "left_anti").select(*manifest.columns).unionByName(output.select(*manifest.columns))
+
+
+def take_level(manifest: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+    """(the level's rows by path, the manifest without them)."""
+    return manifest.filter(F.col("level") == level).orderBy("path"), manifest.filter(F.col("level") != level)
+
+
+def input_bytes(manifest: DataFrame) -> DataFrame:
+    """(level, bytes) that a merge of each level would read."""
+    return manifest.groupBy("level").agg(F.sum("bytes").alias("bytes"))
+
+
+def prune_ranges(entries: DataFrame, min_live_seq: int | None = None, drop=None) -> DataFrame:
+    """entries without the range deletes older than min_live_seq, or that meet the condition `drop`.
+
+    Legal once nothing older than they are can be read any more.
+    """
+    gone = F.lit(False)
+    if min_live_seq is not None:
+        gone = gone | (F.col("seq") < min_live_seq)
+    if drop is not None:
+        gone = gone | drop
+    return entries.filter((F.col("kind") != DELETE_RANGE) | ~F.coalesce(gone, F.lit(False)))
+
+
+def unexpired(visible: DataFrame, now, column: str = "expires_at") -> DataFrame:
+    """Live rows whose time to live hasn't run out; a null never does."""
+    return visible.filter(F.col(column).isNull() | (F.col(column) > now))

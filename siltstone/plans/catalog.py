@@ -395,9 +395,37 @@ def kv_telemetry(spark, sf):
     return telemetry.by_kind(as_binary(log(spark, sf)))
 
 
+@query(f"with {WIDE} select kind, k, seq from log where kind <> 2 or (seq >= {AS_OF} and not k < {i64('10')})")
+def kv_prune_ranges(spark, sf):
+    pruned = compaction.prune_ranges(wide(spark, sf), AS_OF, F.col("key") < F.lit(K.encode(10)))
+    return hexed(pruned.select("kind", "key", "seq"))
+
+
+@query(f"with {WIDE}, {FILES} select * from files where level = 1")
+def kv_take_level(spark, sf):
+    return compaction.take_level(manifest(spark, sf), 1)[0]
+
+
+@query(f"with {WIDE}, {FILES} select level, sum((n_points + n_ranges) * 17)::bigint as bytes from files group by level")
+def kv_input_bytes(spark, sf):
+    return compaction.input_bytes(manifest(spark, sf).withColumn("bytes", (F.col("n_points") + F.col("n_ranges")) * 17))
+
+
+@query(f"with {log_sql()}, {visible_sql()} select k, seq, v from visible where seq % 3 <> 0 or seq > {AS_OF}")
+def kv_ttl_scan(spark, sf):
+    rows = visibility.visible_entries(log(spark, sf)).withColumn("expires_at", F.when(F.col("seq") % 3 == 0, F.col("seq")))
+    return live(compaction.unexpired(rows, AS_OF))
+
+
 # --- the key codec
 
 
+@query(f"select n_nationkey, '{{\"k\":\"' || {utf8('n_name')} || '\"}}' as json from nation")
+def kv_key_json(spark, sf):
+    n = table(spark, sf, "nation")
+    return n.select("n_nationkey", F.to_json(F.struct(K.to_hex(K.string_key("n_name")).alias("k"))).alias("json"))
+
+
 @query(f"select o_orderkey, {i64('o_orderkey - 30000')} as k from orders")
 def kv_key_i64(spark, sf):
     return hexed(table(spark, sf, "orders").select("o_orderkey", K.i64_key(F.col("o_orderkey") - 30000).alias("key")))
