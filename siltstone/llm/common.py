@@ -67,13 +67,16 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.option("compression", "zstd").mode("overwrite").parquet(path)
-        # Shuffle files go once the driver's JVM notices that their plan is gone.
+        # Shuffle files go once the driver's JVM notices that their plan is gone; its scheduler
+        # holds on to the last job, so that a small one has to follow.
+        self.spark.range(1).count()
         self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        for name in names:
-            self._delete(f"{self.root}/{name}")
+        """Delete these tables; all of them if none is named."""
+        for name in names or ("",):
+            self._delete(f"{self.root}/{name}".rstrip("/"))
 
 
 def word_count(text: Column) -> Column:

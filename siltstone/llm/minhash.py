@@ -12,8 +12,8 @@ beyond that, the one is a passage of the other, not a near copy of it.
 3. Sets that share a band meet in a bucket. 64 one-bit minhashes and the sizes rule out
    pairs that are far from the threshold. Small buckets give all other pairs. In large ones a
    set pairs with the first leader it may be linked to, or becomes a leader.
-4. Pairs are checked exactly, on the shingle sets: a member's set is sent to its hub's
-   group, in salted parts.
+   All minhashes then leave out pairs 4 standard errors or more below the threshold.
+4. The rest is checked exactly, on the shingle sets, which meet block by block.
 5. The components of the links so far label the members of the large buckets; pairs of
    different components there are checked too, so no link between components is lost.
 
@@ -38,7 +38,7 @@ from .ngrams import mix64, runs
 
 WIDTH, THRESHOLD, MAX_RATIO, SMALL = 5, 0.8, 2.0, 8
 FUNCTIONS = 128
-SALT = 8
+BLOCK = 1024  # documents that are checked against one another in one place
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 MULTIPLY = (np.random.default_rng(4).integers(0, 2**63, FUNCTIONS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -229,6 +229,35 @@ def may_link(n1, x1, n2, x2, threshold: float, ratio: float) -> np.ndarray:
     return (large <= ratio * small) & (agree >= p - 4 * np.sqrt(p * (1 - p) / 64) - 1e-9)
 
 
+def signature_allows(n1, s1, n2, s2, threshold: float) -> np.ndarray:
+    """Whether the minhashes leave a link possible (4 standard errors)."""
+    small, large = np.minimum(n1, n2).astype(float), np.maximum(n1, n2).astype(float)
+    need = np.ceil(threshold * small - 1e-9)
+    p = need / (small + large - need)
+    return (s1 == s2).mean(axis=-1) >= p - 4 * np.sqrt(p * (1 - p) / FUNCTIONS) - 1e-9
+
+
+def _likely(threshold: float):
+    """Pairs (a, b) of rows with both signatures that may be linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for s in range(0, big.num_rows, 2048):
+                b = big.slice(s, 2048)
+                n1, n2 = (b.column(c).to_numpy(zero_copy_only=False) for c in ("n1", "n2"))
+                s1, s2 = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint32).reshape(-1, FUNCTIONS) for c in ("s1", "s2"))
+                ok = pa.array(signature_allows(n1, s1, n2, s2, threshold))
+                yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], names=["a", "b"])
+
+    return run
+
+
+def likely_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    one = sets.select(F.col("rid").alias("a"), F.col("n").alias("n1"), F.col("sig").alias("s1"))
+    two = sets.select(F.col("rid").alias("b"), F.col("n").alias("n2"), F.col("sig").alias("s2"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "s1", "s2").mapInArrow(_likely(threshold), "a long, b long")
+
+
 PAIRS = "a long, b long, bucket long, n int, bits long, comp long"
 
 
@@ -296,17 +325,19 @@ def _cross(threshold: float, ratio: float):
     """Possible pairs of different components within large buckets, block by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rid, n, bits, comp in by_runs(batches, ["bucket", "a", "n", "bits", "comp"]):
+        for bucket, rid, n, bits, comp, sig in by_runs(batches, ["bucket", "a", "n", "bits", "comp", "sig"]):
             start = runs(bucket)
             for s, e in zip(start, np.r_[start[1:], len(bucket)]):
                 if (comp[s:e] == comp[s]).all():
                     continue
+                rows = np.frombuffer(b"".join(sig[s:e]), dtype=np.uint32).reshape(-1, FUNCTIONS)
                 for i in range(s, e):
                     j = np.arange(i + 1, e)
                     j = j[comp[j] != comp[i]]
                     j = j[may_link(n[i], bits[i : i + 1], n[j], bits[j], threshold, ratio)]
+                    j = j[signature_allows(n[i], rows[i - s], n[j], rows[j - s], threshold)]
                     if len(j):
-                        yield _rows(np.minimum(rid[i], rid[j]), np.maximum(rid[i], rid[j]))
+                        yield _rows(np.minimum(rid[i], rid[j]), np.maximum(rid[i], rid[j]), np.full(len(j), bucket[s]))
 
     return run
 
@@ -315,62 +346,75 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for big in batches:
         for b, raws in slices(big, "raw"):
             sets = [s.tobytes() for s in shingle_sets(raws)]
-            yield pa.RecordBatch.from_arrays([b.column("hub"), b.column("salt"), b.column("rid"), pa.array(sets, pa.binary())], names=["hub", "salt", "rid", "sh"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("bucket", "x", "y", "a")), pa.array(sets, pa.binary())], names=["bucket", "x", "y", "a", "sh"])
 
 
 def _verify(threshold: float):
+    """Of a block's sets (b null), then its pairs: the pairs that are linked."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, own = None, np.zeros(0, dtype=np.uint64)
+        block, sets = None, {}
         for big in batches:
             for s in range(0, big.num_rows, 1024):
-                b = big.slice(s, 1024)
-                a, c, score = [], [], []
-                for h, r, sh in zip(b.column("hub").to_pylist(), b.column("rid").to_pylist(), b.column("sh").to_pylist()):
-                    x = np.frombuffer(sh, dtype=np.uint64)
-                    if h == r:
-                        hub, own = h, x
+                c = big.slice(s, 1024)
+                out: list[tuple[int, int, float]] = []
+                for bucket, x, y, a, b, sh in zip(*(c.column(k).to_pylist() for k in ("bucket", "x", "y", "a", "b", "sh"))):
+                    if block != (bucket, x, y):
+                        block, sets = (bucket, x, y), {}
+                    if b is None:
+                        sets[a] = np.frombuffer(sh, dtype=np.uint64)
                         continue
-                    assert h == hub, "a hub sorts before its members"
-                    at = np.minimum(np.searchsorted(own, x), len(own) - 1)
-                    both, least = int((own[at] == x).sum()), min(len(own), len(x))
+                    one, two = sets[a], sets[b]
+                    at = np.minimum(np.searchsorted(one, two), len(one) - 1)
+                    both, least = int((one[at] == two).sum()), min(len(one), len(two))
                     if both >= math.ceil(threshold * least - 1e-9):
-                        a.append(h)
-                        c.append(r)
-                        score.append(both / least)
-                if a:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(score, pa.float64())], names=["a", "b", "containment"])
+                        out.append((a, b, both / least))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "containment"])
 
     return run
 
 
-def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of texts (rid, raw) whose containment reaches the threshold."""
-    salted = pairs.select("a", "b", F.pmod("b", F.lit(SALT)).cast("int").alias("salt"))
-    routes = salted.select(F.col("b").alias("rid"), F.col("a").alias("hub"), "salt").unionByName(
-        salted.select(F.col("a").alias("rid"), F.col("a").alias("hub"), "salt").distinct()
-    )
-    sets = texts.join(routes, "rid").select("hub", "salt", "rid", "raw").mapInArrow(_expand, "hub long, salt int, rid long, sh binary")
-    ordered = sets.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("hub") != F.col("rid"))
+def verify(pairs: DataFrame, texts: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """The pairs (a, b, bucket) of texts (rid, raw) whose containment reaches the threshold.
+
+    A bucket's documents are cut into blocks of about `block`; a pair is checked where its
+    two blocks meet, and a document's set goes once to each meeting that it has pairs in.
+    """
+    ends = pairs.select("bucket", "a").union(pairs.select("bucket", F.col("b").alias("a"))).distinct()
+    blocks = ends.groupBy("bucket").agg(F.ceil(F.count("*") / block).alias("nb"))
+    spot = lambda c: F.pmod(F.xxhash64(c), F.col("nb")).cast("int")
+    spread = pairs.join(blocks, "bucket").select("bucket", spot("a").alias("x"), spot("b").alias("y"), "a", "b")
+    routes = spread.select("bucket", "x", "y", "a").union(spread.select("bucket", "x", "y", F.col("b").alias("a"))).distinct()
+    sent = texts.withColumnRenamed("rid", "a").join(routes, "a").select("bucket", "x", "y", "a", "raw")
+    sets = sent.mapInArrow(_expand, "bucket long, x int, y int, a long, sh binary")
+    rows = sets.unionByName(spread, allowMissingColumns=True)
+    ordered = rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", F.col("b").isNotNull())
     return ordered.mapInArrow(_verify(threshold), "a long, b long, containment double")
 
 
+#: What link_sets leaves in its scratch folder.
+TABLES = ("signed", "sets", "found", "pairs", "links", "more", "links2", "roots", "roots2")
+
+
 def link_sets(texts: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, ratio: float = MAX_RATIO) -> tuple[DataFrame, DataFrame]:
     """For texts (rid, raw): (rid, n, rep) with one rep for equal sets, and (node, root) of linked reps."""
     signed = scratch.keep(texts.mapInArrow(_sign, SIGNED), "signed")
     sets = scratch.keep(signed.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("rid").alias("rid"), F.max("sig").alias("sig")), "sets")
     rows = sets.select("rid", "n", "sig").mapInArrow(_band(threshold, ratio), BUCKETS)
     found = scratch.keep(rows.repartition("bucket").sortWithinPartitions("bucket", "rid").mapInArrow(_pair(threshold, ratio), PAIRS), "found")
-    pairs = scratch.keep(found.filter(F.col("b").isNotNull()).select("a", "b").distinct(), "pairs")
-    links = scratch.keep(verify(pairs, texts, threshold), "links")
-    roots = components(links, scratch)
+    pairs = scratch.keep(likely_pairs(found.filter(F.col("b").isNotNull()).select("a", "b").distinct(), sets, threshold), "pairs")
+    links = scratch.keep(verify(pairs.withColumn("bucket", F.col("a")), texts, threshold), "links")
+    roots = scratch.keep(components(links, scratch), "roots")
     large = found.filter(F.col("b").isNull()).select("a", "bucket", "n", "bits")
     if not large.isEmpty():
-        labelled = large.join(roots.select(F.col("node").alias("a"), F.col("root")), "a", "left").select("bucket", "a", "n", "bits", F.coalesce("root", "a").alias("comp"))
-        more = labelled.repartition("bucket").sortWithinPartitions("bucket", "a").mapInArrow(_cross(threshold, ratio), PAIRS).select("a", "b").distinct()
-        more = scratch.keep(more.join(pairs, ["a", "b"], "left_anti"), "more")
+        labels = roots.select(F.col("node").alias("a"), F.col("root"))
+        labelled = large.join(labels, "a", "left").join(sets.select(F.col("rid").alias("a"), "sig"), "a").select("bucket", "a", "n", "bits", F.coalesce("root", "a").alias("comp"), "sig")
+        more = labelled.repartition("bucket").sortWithinPartitions("bucket", "a").mapInArrow(_cross(threshold, ratio), PAIRS)
+        more = scratch.keep(more.groupBy("a", "b").agg(F.min("bucket").alias("bucket")).join(pairs, ["a", "b"], "left_anti"), "more")
         if not more.isEmpty():
             extra = scratch.keep(verify(more, texts, threshold), "links2")
-            roots = components(links.unionByName(extra), scratch, "components2")
+            roots = scratch.keep(components(links.unionByName(extra), scratch, "components2"), "roots2")
     reps = signed.select("rid", "n", "k1", "k2").join(sets.select("k1", "k2", "n", F.col("rid").alias("rep")), ["k1", "k2", "n"], "left")
     return reps.select("rid", "n", F.coalesce("rep", "rid").alias("rep")), roots
 
@@ -391,8 +435,11 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, ratio: float =
     member = scratch.keep(named.select("rid", "doc_id", "n", F.coalesce("root", "rep").alias("class")), "members")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "rid"))
     classes = member.groupBy("class").agg(first.alias("f"), F.count("*").alias("class_size"))
-    labels = member.join(classes, "class").select("rid", F.col("n").alias("n_shingles"), F.col("f.doc_id").alias("class_id"), "class_size", (F.col("f.rid") == F.col("rid")).alias("keep"))
+    labels = member.join(classes, "class").select("rid", F.col("n").alias("n_shingles"), F.col("f.doc_id").alias("class_id"), "class_size", (F.col("f.rid") == F.col("rid")).alias("keep"), "doc_id")
+    labels = scratch.keep(labels, "labels")
+    scratch.drop("members", *(t for t in TABLES))
     if columns == ["doc_id"]:
-        labels = labels.join(member.select("rid", "doc_id"), "rid")
+        scratch.drop("documents")
         return labels.select("doc_id", "n_shingles", "class_id", "class_size", "keep")
+    labels = labels.drop("doc_id")
     return docs.select("rid", *columns).join(labels, "rid").drop("rid")
