@@ -126,3 +126,22 @@ def mix(df: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3, s
     extra = F.when((F.col("size") > 0) & (rank("g", "u", "scale") <= F.col("cut")), 1).otherwise(0)
     copies = F.when(F.col("size") > 0, F.col("whole") + extra).otherwise(0)
     return joined(rows).join(cuts, "g").withColumn("copies", copies.cast("int")).drop("g", "u", "scale", "whole", "cut")
+
+
+def oracle() -> str:
+    """DuckDB SQL for the op10 query: water-filling in closed form, then the sample's cut per source."""
+    return r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+    ('0x' || substr(md5('mix|' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint as u from documents),
+s as (select source, sum(size)::bigint as s, sum(sum(size)) over () as total, (row_number() over (order by source nulls last) - 1) % 3 + 1 as w from d group by source),
+p as (select *, row_number() over o as k, coalesce(sum(3 * s) over (o rows between unbounded preceding and 1 preceding), 0) as before,
+    sum(w) over (o rows between current row and unbounded following) as weights from s window o as (order by s / w, source nulls last)),
+first_open as (select * from p where (total - before)::double / weights::double <= 3.0 * s / w order by k limit 1),
+t as (select p.source, p.s, case when p.k >= f.k then (f.total - f.before)::double / f.weights::double * p.w::double else 3.0 * p.s end::double as target
+  from p left join first_open f on true),
+v as (select *, floor(case when s > 0 then least(target / s, 3) else 0 end) as whole from t),
+c as (select d.doc_id, d.size, v.s, v.target, v.whole, v.target - v.whole * v.s as part,
+    sum(d.size) over (partition by d.source order by d.u, d.doc_id) as upto from d join v on d.source is not distinct from v.source)
+select doc_id, size::bigint as size, s as source_size, target,
+  (size * (whole + case when upto <= part then 1 when upto - size <= part and upto - part < part - (upto - size) then 1 else 0 end))::bigint as taken from c
+"""

@@ -94,6 +94,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from .licenses import oracle
+    from . import licenses, mixing, suffix_dedup
 
-    return {"op7_license_scan": oracle()}
+    return {
+        "op5_suffix_array_dedup": suffix_dedup.oracle(),
+        "op7_license_scan": licenses.oracle(),
+        "op10_pareto_mixing": mixing.oracle(),
+    }

@@ -3,7 +3,8 @@ import re
 import numpy as np
 
 from siltstone.llm.mixing import mix, pareto_key, targets
-from siltstone.llm.queries import queries
+from siltstone.llm.queries import oracle_sql, queries
+from tests.oracle import expect_same
 
 SCHEMA = "doc_id long, text string, source string, target string, g int"
 
@@ -41,6 +42,11 @@ def test_query_against_brute_force(spark):
         assert abs(part.taken.sum() - t) <= part["size"].max() / 2 + 1
 
 
+def test_query_matches_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    expect_same(queries()["op10_pareto_mixing"](spark, sf), oracle_sql()["op10_pareto_mixing"], sf)
+
+
 def test_unequal_inclusion_prefers_heavy_rows(spark):
     df = spark.createDataFrame([(i, "a b c d e", "s" if i < 600 else "t", 1.0 if i % 2 else 3.0) for i in range(1200)], "doc_id long, text string, source string, scale double")
     got = mix(df, weights=(1, 5), inclusion="scale").toPandas()

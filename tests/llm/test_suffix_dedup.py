@@ -4,8 +4,9 @@ import random
 import numpy as np
 import pytest
 
-from siltstone.llm.queries import queries
+from siltstone.llm.queries import oracle_sql, queries
 from siltstone.llm.suffix_dedup import LENGTH, earlier, remove_repeats, sliding
+from tests.oracle import expect_same
 
 
 def brute(docs):
@@ -35,6 +36,11 @@ def test_query_matches_brute_force(spark):
         assert got.n_removed.sum() > 0
 
 
+def test_query_matches_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    expect_same(queries()["op5_suffix_array_dedup"](spark, sf), oracle_sql()["op5_suffix_array_dedup"], sf)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_periodic_overlapping_and_boundary_repeats(spark, seed):
     rng = random.Random(seed)
