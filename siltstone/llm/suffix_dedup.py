@@ -329,3 +329,19 @@ def remove_repeats(df: DataFrame, columns: list[str] | None = None, keep: bool =
     source = docs.select("rid", *[c for c in columns if c != "text"], raw.alias("_raw")).join(ranges, "rid", "left").drop("rid")
     schema = T.StructType([f for f in source.schema if f.name not in ("_raw", "_ranges")] + list(T._parse_datatype_string(ADDED)))
     return source.mapInArrow(_remove(schema, keep), schema)
+
+
+def oracle() -> str:
+    """DuckDB SQL for the op5 query: every 100-byte string of every document, ranked by place."""
+    return f"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents),
+w as (select doc_id, i, substr(h, 2 * i + 1, {2 * LENGTH}) as s from (select doc_id, h, unnest(range(0, n - {LENGTH - 1})) as i from d where n >= {LENGTH})),
+dup as (select doc_id, i from w qualify row_number() over (partition by s order by doc_id, i) > 1),
+edge as (select *, case when i <= lag(i) over (partition by doc_id order by i) + {LENGTH} then 0 else 1 end as new from dup),
+spans as (select doc_id, min(i) as s, max(i) + {LENGTH} as e from (select *, sum(new) over (partition by doc_id order by i) as g from edge) group by doc_id, g),
+gaps as (select doc_id, s, e, coalesce(lag(e) over (partition by doc_id order by s), 0) as a from spans),
+kept as (select doc_id, sum(e - s) as n_removed, count(*) as n_spans, max(e) as last_e,
+    string_agg(substr(h, 2 * a + 1, 2 * (s - a)), '' order by s) as hex from gaps join d using (doc_id) group by doc_id)
+select doc_id, n::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+  sha256(unhex(coalesce(hex, '') || substr(h, 2 * coalesce(last_e, 0) + 1))) as kept_sha256 from d left join kept using (doc_id)
+"""
