@@ -326,6 +326,8 @@ def remove_repeats(df: DataFrame, columns: list[str] | None = None, keep: bool =
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "rid", raw.alias("raw"))
     ranges = covered_ranges(texts, scratch).groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("_ranges"))
+    ranges = scratch.keep(ranges, "ranges")
+    scratch.drop("met", "compared")
     source = docs.select("rid", *[c for c in columns if c != "text"], raw.alias("_raw")).join(ranges, "rid", "left").drop("rid")
     schema = T.StructType([f for f in source.schema if f.name not in ("_raw", "_ranges")] + list(T._parse_datatype_string(ADDED)))
     return source.mapInArrow(_remove(schema, keep), schema)
