@@ -17,30 +17,38 @@ from siltstone.llm.quality_rules import quality_rules
 from siltstone.llm.suffix_dedup import remove_repeats
 
 
+_last: list[Scratch] = []
+
+
+def _scratch(spark: SparkSession) -> Scratch:
+    """A stage's scratch folder. The stage before has been written by now: its folder goes."""
+    prepare(spark)
+    while _last:
+        _last.pop().drop()
+    _last.append(Scratch(spark))
+    return _last[0]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie within their language's perplexity bands."""
-    prepare(spark)
-    return quality_rules(docs).filter("kept").select(*docs.columns)
+    return quality_rules(docs, scratch=_scratch(spark)).filter("kept").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates, that with the least doc_id."""
-    prepare(spark)
-    return near_duplicates(docs).filter("keep").select(*docs.columns)
+    return near_duplicates(docs, scratch=_scratch(spark)).filter("keep").select(*docs.columns)
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes of 100-byte strings that start earlier; emptied ones go."""
-    prepare(spark)
-    out = remove_repeats(docs, columns=[c for c in docs.columns if c != "text"])
+    out = remove_repeats(docs, columns=[c for c in docs.columns if c != "text"], scratch=_scratch(spark))
     out = out.withColumns({"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")})
     return out.filter("n_removed < n_bytes").select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    prepare(spark)
-    out = mix(docs).filter("copies > 0")
+    out = mix(docs, scratch=_scratch(spark)).filter("copies > 0")
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
@@ -48,8 +56,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 2048 tokens."""
     import public_tokenizers
 
-    prepare(spark)
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), scratch=_scratch(spark))
 
 
 STAGES = [
