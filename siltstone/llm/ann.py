@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidied
 
 FOUND = "query_id long, vec_id long, score double"
 
@@ -195,7 +195,7 @@ def search(df: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vec_col:
     def packed(part: DataFrame, n: int, most: int, coded: bool) -> DataFrame:
         parts = max(1, math.ceil(n / most))
         spread = part.repartitionById(parts, F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
-        return spread.mapInArrow(_pack(d, most, book if coded else None, beam), "ids binary, x binary, codes binary, norms binary")
+        return spread.mapInArrow(tidied(_pack(d, most, book if coded else None, beam)), "ids binary, x binary, codes binary, norms binary")
 
     number = F.monotonically_increasing_id()
     index = scratch.keep(packed(rows, top["n"], block, True).withColumn("block", number), "index")
@@ -203,7 +203,7 @@ def search(df: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vec_col:
     blocks = index.select("block")
     # every query block goes to every index block: one small row each
     spread = _to_blocks(asked, [r["block"] for r in blocks.collect()])
-    hits = index.join(spread, "block").drop("block").mapInArrow(_search(d, book, k, depth, metric), FOUND)
+    hits = index.join(spread, "block").drop("block").mapInArrow(tidied(_search(d, book, k, depth, metric)), FOUND)
     best = hits.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "score"))), 1, k).alias("b"))
     return best.select("query_id", F.posexplode("b").alias("p", "b")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), "b.vec_id", "b.score")
 

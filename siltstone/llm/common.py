@@ -23,6 +23,36 @@ def prepare(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if REPO not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (REPO, env.get("PYTHONPATH", "")) if x)
+    # texts are long: the default of 10,000 rows a batch is tens of MB on either side
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
+def tidied(f):
+    """f for mapInArrow; at a task's end its Python worker gives freed memory back.
+
+    Workers outlive tasks: without this an executor keeps every operator's peak.
+    """
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            _give_back()
+
+    return run
+
+
+def _give_back() -> None:
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidied
 from .graph import components
 from .ngrams import mix64, runs
 
@@ -120,7 +120,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def slices(b: pa.RecordBatch, column: str, limit: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def slices(b: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """The batch in parts of about `limit` bytes of text."""
     raws, s, held = b.column(column).to_pylist(), 0, 0
     for i, r in enumerate(raws):
@@ -255,7 +255,7 @@ def _likely(threshold: float):
 def likely_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     one = sets.select(F.col("rid").alias("a"), F.col("n").alias("n1"), F.col("sig").alias("s1"))
     two = sets.select(F.col("rid").alias("b"), F.col("n").alias("n2"), F.col("sig").alias("s2"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "s1", "s2").mapInArrow(_likely(threshold), "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "s1", "s2").mapInArrow(tidied(_likely(threshold)), "a long, b long")
 
 
 PAIRS = "a long, b long, bucket long, n int, bits long, comp long"
@@ -387,10 +387,10 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float, block: int = BL
     spread = pairs.join(blocks, "bucket").select("bucket", spot("a").alias("x"), spot("b").alias("y"), "a", "b")
     routes = spread.select("bucket", "x", "y", "a").union(spread.select("bucket", "x", "y", F.col("b").alias("a"))).distinct()
     sent = texts.withColumnRenamed("rid", "a").join(routes, "a").select("bucket", "x", "y", "a", "raw")
-    sets = sent.mapInArrow(_expand, "bucket long, x int, y int, a long, sh binary")
+    sets = sent.mapInArrow(tidied(_expand), "bucket long, x int, y int, a long, sh binary")
     rows = sets.unionByName(spread, allowMissingColumns=True)
     ordered = rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", F.col("b").isNotNull())
-    return ordered.mapInArrow(_verify(threshold), "a long, b long, containment double")
+    return ordered.mapInArrow(tidied(_verify(threshold)), "a long, b long, containment double")
 
 
 #: What link_sets leaves in its scratch folder.
@@ -399,10 +399,10 @@ TABLES = ("signed", "sets", "found", "pairs", "links", "more", "links2", "roots"
 
 def link_sets(texts: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, ratio: float = MAX_RATIO) -> tuple[DataFrame, DataFrame]:
     """For texts (rid, raw): (rid, n, rep) with one rep for equal sets, and (node, root) of linked reps."""
-    signed = scratch.keep(texts.mapInArrow(_sign, SIGNED), "signed")
+    signed = scratch.keep(texts.mapInArrow(tidied(_sign), SIGNED), "signed")
     sets = scratch.keep(signed.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("rid").alias("rid"), F.max("sig").alias("sig")), "sets")
-    rows = sets.select("rid", "n", "sig").mapInArrow(_band(threshold, ratio), BUCKETS)
-    found = scratch.keep(rows.repartition("bucket").sortWithinPartitions("bucket", "rid").mapInArrow(_pair(threshold, ratio), PAIRS), "found")
+    rows = sets.select("rid", "n", "sig").mapInArrow(tidied(_band(threshold, ratio)), BUCKETS)
+    found = scratch.keep(rows.repartition("bucket").sortWithinPartitions("bucket", "rid").mapInArrow(tidied(_pair(threshold, ratio)), PAIRS), "found")
     pairs = scratch.keep(likely_pairs(found.filter(F.col("b").isNotNull()).select("a", "b").distinct(), sets, threshold), "pairs")
     links = scratch.keep(verify(pairs.withColumn("bucket", F.col("a")), texts, threshold), "links")
     roots = scratch.keep(components(links, scratch), "roots")
@@ -410,7 +410,7 @@ def link_sets(texts: DataFrame, scratch: Scratch, threshold: float = THRESHOLD,
     if not large.isEmpty():
         labels = roots.select(F.col("node").alias("a"), F.col("root"))
         labelled = large.join(labels, "a", "left").join(sets.select(F.col("rid").alias("a"), "sig"), "a").select("bucket", "a", "n", "bits", F.coalesce("root", "a").alias("comp"), "sig")
-        more = labelled.repartition("bucket").sortWithinPartitions("bucket", "a").mapInArrow(_cross(threshold, ratio), PAIRS)
+        more = labelled.repartition("bucket").sortWithinPartitions("bucket", "a").mapInArrow(tidied(_cross(threshold, ratio)), PAIRS)
         more = scratch.keep(more.groupBy("a", "b").agg(F.min("bucket").alias("bucket")).join(pairs, ["a", "b"], "left_anti"), "more")
         if not more.isEmpty():
             extra = scratch.keep(verify(more, texts, threshold), "links2")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, hex_key, word_count
+from .common import Scratch, hex_key, tidied, word_count
 from .splitters import locate
 
 SCALE = float(2**52)
@@ -102,7 +102,7 @@ def mix(df: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3, s
         return x.drop(*clash).join(p, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
 
     def keyed(x: DataFrame) -> DataFrame:
-        return x.mapInArrow(_keyed(fraction), f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in x.schema)}, key long")
+        return x.mapInArrow(tidied(_keyed(fraction)), f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in x.schema)}, key long")
 
     digest = keyed(joined(thin).select("g", "u", "scale", "size"))
     wanted = {i: [x] for i, x in enumerate(part) if x > 0}

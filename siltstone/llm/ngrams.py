@@ -10,10 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLAB = 1 << 20  # bytes of text handled at once
+from .common import tidied
+
+SLAB = 1 << 18  # bytes of text handled at once: its arrays stay in a core's cache
 MERGE = 1 << 22  # grams that a task holds before it merges them
 
 
@@ -161,7 +164,7 @@ def count_ngrams(df: DataFrame, order: int, normal=same) -> DataFrame:
 
     `normal` maps a text to what is counted, None to leave it out.
     """
-    return df.mapInArrow(_count(order, normal), "g string, gram long, n long").groupBy("g", "gram").agg(F.sum("n").alias("n"))
+    return df.mapInArrow(tidied(_count(order, normal)), "g string, gram long, n long").groupBy("g", "gram").agg(F.sum("n").alias("n"))
 
 
 def shorter(level: DataFrame, order: int) -> DataFrame:
@@ -185,10 +188,9 @@ def bounded(level: DataFrame, most: int) -> tuple[dict[str, tuple[np.ndarray, np
             break
     out: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     found = level.filter(F.col("n") >= least).toArrow()
-    names = found.column("g").to_numpy()
-    gram, n = found.column("gram").to_numpy(), found.column("n").to_numpy()
-    for g in sorted(set(names)):
-        pick = names == g
-        order = np.argsort(gram[pick])
-        out[g] = (gram[pick][order].view(np.uint64), n[pick][order].astype(np.int64))
+    for g in sorted(pc.unique(found.column("g")).to_pylist()):
+        part = found.filter(pc.equal(found.column("g"), g))
+        gram, n = part.column("gram").to_numpy(), part.column("n").to_numpy()
+        order = np.argsort(gram)
+        out[g] = (gram[order].view(np.uint64), n[order].astype(np.int64))
     return out, least

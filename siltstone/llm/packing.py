@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidied
 
 PIECES = "doc_id long, start long, length int, ids binary, ids_crc32 long, doc_tokens long, task int, lrank long"
 
@@ -253,7 +253,7 @@ def pack(df: DataFrame, tokenizer: str, ranks: str | None = None, window: int =
     """
     scratch = scratch or Scratch(df.sparkSession)
     raw = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    pieces = scratch.keep(raw.mapInArrow(_tokenize(tokenizer, ranks, window, end_id, True), PIECES), "pieces")
+    pieces = scratch.keep(raw.mapInArrow(tidied(_tokenize(tokenizer, ranks, window, end_id, True)), PIECES), "pieces")
     by_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     counts = np.zeros(window + 1, dtype=np.int64)
     for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect():
@@ -262,6 +262,6 @@ def pack(df: DataFrame, tokenizer: str, ranks: str | None = None, window: int =
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
     ranked = pieces.join(offsets, ["length", "task"]).withColumn("rank", F.col("skip") + F.col("lrank"))
-    placed = ranked.mapInArrow(_place(where, runs, first_tail, tail_total, window), PLACED)
+    placed = ranked.mapInArrow(tidied(_place(where, runs, first_tail, tail_total, window)), PLACED)
     # a piece that was cut once more needs its own checksum
     return placed.withColumn("ids_crc32", F.coalesce("ids_crc32", F.crc32("ids")))

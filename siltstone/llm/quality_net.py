@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidied
+
 CHUNK, STEP, BLOCK = 512, 448, 64  # chunks of 512 bytes every 448: blocks of 64 make both
 TAPS, EMBED, FILTERS = 8, 6, 24
 
@@ -176,7 +178,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", per_c
         part = known.filter(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
     rows = documents.select("doc_id", F.col("text").cast("binary").alias("raw")).join(F.broadcast(picked), "doc_id")  # at most 2 * per_class ids
-    got = rows.mapInArrow(_sampled(chunks), "doc_id long, label int, chunks binary").orderBy("doc_id", "chunks").limit(4 * per_class).collect()
+    got = rows.mapInArrow(tidied(_sampled(chunks)), "doc_id long, label int, chunks binary").orderBy("doc_id", "chunks").limit(4 * per_class).collect()
     y = np.array([r["label"] for r in got])
     if len(set(y.tolist())) < 2:
         return float(y.mean()) if len(y) else 0.5
@@ -211,6 +213,6 @@ def classify(documents: DataFrame, labels: DataFrame, label: str = "quality", co
     columns = [c for c in (documents.columns if columns is None else columns) if c not in ("score", "held_out", "predicted", "_raw")]
     source = documents.select(*columns, F.col("text").cast("binary").alias("_raw"))
     schema = T.StructType([f for f in source.schema if f.name != "_raw"] + [T.StructField("score", T.DoubleType())])
-    return source.mapInArrow(_score(net, schema), schema).withColumns({
+    return source.mapInArrow(tidied(_score(net, schema)), schema).withColumns({
         "held_out": held_out(F.col("doc_id")), "predicted": (F.col("score") >= threshold).cast("int"),
     })

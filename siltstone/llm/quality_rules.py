@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import Scratch, tidied
 from .ngrams import HashArray, bounded, count_ngrams, runs, shorter, slabs
 
 ORDER = 5
@@ -234,7 +234,7 @@ def quality_rules(df: DataFrame, columns: list[str] | None = None, width: float
     model = fit(df.select(g.alias("g"), F.coalesce(raw, F.lit(b"")).alias("raw")), max_grams=max_grams, scratch=scratch)
     source = df.select(*columns, g, raw)
     schema = T.StructType([f for f in source.schema if f.name != "_raw"] + list(T._parse_datatype_string(FEATURES)))
-    scored = scratch.keep(source.mapInArrow(_features(model, schema), schema), "scored")
+    scored = scratch.keep(source.mapInArrow(tidied(_features(model, schema)), schema), "scored")
     found = bands(scored, width, short)
     limits = df.sparkSession.createDataFrame([(g, m, s) for g, (m, s) in found.items()], "_g string, _mid double, _dev double")
     slack = F.col("_dev") * width + F.lit(short) / F.sqrt(F.col("n_bytes") + 1)

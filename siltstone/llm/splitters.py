@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 COUNT_SCHEMA = "g int, bucket long, w long, n long, lo long, hi long"
 
 
@@ -67,7 +69,7 @@ def histogram(digest: DataFrame, probes: dict[int, np.ndarray]) -> dict[int, lis
     """Per group, its non-empty probe intervals in key order."""
     rows = (
         digest.select(F.col("g").cast("int"), F.col("key").cast("long"), F.col("w").cast("long"))
-        .mapInArrow(_counter(probes), COUNT_SCHEMA)
+        .mapInArrow(tidied(_counter(probes)), COUNT_SCHEMA)
         .groupBy("g", "bucket")
         .agg(F.sum("w").alias("w"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         .collect()

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import Scratch, tidied
 from .minhash import by_runs, powers, slices
 from .ngrams import mix64, runs
 
@@ -126,7 +126,7 @@ def _anchor(hot: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for b, raws in slices(big, "raw", 1 << 20):
+            for b, raws in slices(big, "raw", 1 << 19):
                 text, pos, ah, ch, before, after = anchors(raws, hot)
                 if not len(text):
                     continue
@@ -268,20 +268,20 @@ def hot_anchors(texts: DataFrame, rows: int, share: float, most: int) -> np.ndar
     """Anchors in at least `share` of a sample of `rows` texts, `most` at most: a hint for the spread of work."""
     some = texts.orderBy(F.xxhash64("rid")).select("rid").limit(rows)
     sample = texts.join(F.broadcast(some), "rid").select("doc", "rid", "raw")  # at most `rows` ids
-    counts = sample.mapInArrow(_anchor(np.zeros(0, dtype=np.uint64)), MARKS).filter("kind = 0").groupBy("ah").agg(F.count("*").alias("n"))
+    counts = sample.mapInArrow(tidied(_anchor(np.zeros(0, dtype=np.uint64))), MARKS).filter("kind = 0").groupBy("ah").agg(F.count("*").alias("n"))
     found = counts.filter(F.col("n") > max(20, rows * share)).orderBy(F.desc("n"), "ah").limit(most).collect()
     return np.sort(np.array([r["ah"] for r in found], dtype=np.int64).view(np.uint64))
 
 
-def covered_ranges(texts: DataFrame, scratch: Scratch, slab: int = 4 << 20, sample: int = 4096) -> DataFrame:
+def covered_ranges(texts: DataFrame, scratch: Scratch, slab: int = 1 << 20, sample: int = 4096) -> DataFrame:
     """(rid, s, e): ranges of bytes to remove, possibly overlapping. texts: doc, rid, raw."""
     hot = hot_anchors(texts, sample, 0.01, 4096)
-    found = texts.select("doc", "rid", "raw").mapInArrow(_anchor(hot), MARKS)
+    found = texts.select("doc", "rid", "raw").mapInArrow(tidied(_anchor(hot)), MARKS)
     order = ["ah", "kind", "ch", "doc", "rid", "x"]
-    met = scratch.keep(found.repartition("ah").sortWithinPartitions(*order).mapInArrow(_meet, MARKS), "met")
+    met = scratch.keep(found.repartition("ah").sortWithinPartitions(*order).mapInArrow(tidied(_meet), MARKS), "met")
     needs = met.filter("kind = 2").groupBy("rid").agg(F.collect_list(F.struct("ah", "x")).alias("needs"))
-    contexts = texts.join(needs, "rid").select("doc", "rid", "raw", "needs").mapInArrow(_cut, CONTEXTS)
-    more = scratch.keep(contexts.repartition("ah").sortWithinPartitions("ah").mapInArrow(_compare(slab), MARKS), "compared")
+    contexts = texts.join(needs, "rid").select("doc", "rid", "raw", "needs").mapInArrow(tidied(_cut), CONTEXTS)
+    more = scratch.keep(contexts.repartition("ah").sortWithinPartitions("ah").mapInArrow(tidied(_compare(slab)), MARKS), "compared")
     return met.filter("kind = 1").select("rid", "s", "e").unionByName(more.select("rid", "s", "e"))
 
 
@@ -330,7 +330,7 @@ def remove_repeats(df: DataFrame, columns: list[str] | None = None, keep: bool =
     scratch.drop("met", "compared")
     source = docs.select("rid", *[c for c in columns if c != "text"], raw.alias("_raw")).join(ranges, "rid", "left").drop("rid")
     schema = T.StructType([f for f in source.schema if f.name not in ("_raw", "_ranges")] + list(T._parse_datatype_string(ADDED)))
-    return source.mapInArrow(_remove(schema, keep), schema)
+    return source.mapInArrow(tidied(_remove(schema, keep)), schema)
 
 
 def oracle() -> str:
