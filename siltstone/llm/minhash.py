@@ -386,7 +386,8 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float, block: int = BL
     spot = lambda c: F.pmod(F.xxhash64(c), F.col("nb")).cast("int")
     spread = pairs.join(blocks, "bucket").select("bucket", spot("a").alias("x"), spot("b").alias("y"), "a", "b")
     routes = spread.select("bucket", "x", "y", "a").union(spread.select("bucket", "x", "y", F.col("b").alias("a"))).distinct()
-    sent = texts.withColumnRenamed("rid", "a").join(routes, "a").select("bucket", "x", "y", "a", "raw")
+    # the same plan at every size: texts are sorted to the routes, which may be many
+    sent = texts.withColumnRenamed("rid", "a").join(routes.hint("merge"), "a").select("bucket", "x", "y", "a", "raw")
     sets = sent.mapInArrow(tidied(_expand), "bucket long, x int, y int, a long, sh binary")
     rows = sets.unionByName(spread, allowMissingColumns=True)
     ordered = rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", F.col("b").isNotNull())
