@@ -173,6 +173,27 @@ def shorter(level: DataFrame, order: int) -> DataFrame:
     return level.groupBy("g", F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(F.count("*").alias("n"))
 
 
+PIECE = 1 << 21  # grams fetched by one job: what one result holds is fixed, their number isn't
+
+
+def gathered(level: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """All grams of a written level as sorted arrays by g, whatever their counts: 16 bytes each on the driver."""
+    pieces = max(1, -(-level.count() // PIECE))
+    parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for i in range(pieces):
+        found = level.filter(F.pmod(F.xxhash64("g", "gram"), F.lit(pieces)) == i).toArrow()
+        for g in pc.unique(found.column("g")).to_pylist():
+            part = found.filter(pc.equal(found.column("g"), g))
+            parts.setdefault(g, []).append((part.column("gram").to_numpy(), part.column("n").to_numpy()))
+        del found
+    out: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    for g in sorted(parts):
+        gram, n = (np.concatenate(x) for x in zip(*parts.pop(g)))
+        order = np.argsort(gram)
+        out[g] = (gram[order].view(np.uint64), n[order].astype(np.int64))
+    return out
+
+
 def bounded(level: DataFrame, most: int) -> tuple[dict[str, tuple[np.ndarray, np.ndarray]], int]:
     """The level's grams as arrays by g, those with counts below a cut-off left out.
 
