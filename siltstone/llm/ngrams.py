@@ -192,26 +192,3 @@ def gathered(level: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
         order = np.argsort(gram)
         out[g] = (gram[order].view(np.uint64), n[order].astype(np.int64))
     return out
-
-
-def bounded(level: DataFrame, most: int) -> tuple[dict[str, tuple[np.ndarray, np.ndarray]], int]:
-    """The level's grams as arrays by g, those with counts below a cut-off left out.
-
-    The cut-off is the smallest that leaves at most `most` grams (1: none is left
-    out). That many, 16 bytes each, is the proven bound of what reaches the driver.
-    """
-    have = level.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n"))
-    least, total = 1, 0
-    for r in have.toLocalIterator():
-        total += r["k"]
-        if total > most:
-            least = r["n"] + 1
-            break
-    out: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    found = level.filter(F.col("n") >= least).toArrow()
-    for g in sorted(pc.unique(found.column("g")).to_pylist()):
-        part = found.filter(pc.equal(found.column("g"), g))
-        gram, n = part.column("gram").to_numpy(), part.column("n").to_numpy()
-        order = np.argsort(gram)
-        out[g] = (gram[order].view(np.uint64), n[order].astype(np.int64))
-    return out, least

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, tidied
-from .ngrams import HashArray, bounded, count_ngrams, runs, shorter, slabs
+from .ngrams import HashArray, count_ngrams, gathered, runs, shorter, slabs
 
 ORDER = 5
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_bytes long, log10_perplexity double"
@@ -114,14 +114,13 @@ def reference(raw: bytes) -> bytes | None:
     return raw if 50 * (len(raw) - len(raw.translate(None, SYMBOLS))) <= len(raw) else None
 
 
-def fit(df: DataFrame, order: int = ORDER, max_grams: int = 1 << 22, scratch: Scratch | None = None) -> KneserNey | None:
-    """Counts over all reference texts of df (g string, raw binary). None if there are none."""
+def fit(df: DataFrame, order: int = ORDER, scratch: Scratch | None = None) -> KneserNey | None:
+    """Counts over all reference texts of df (g string, raw binary), every gram kept. None if there are none."""
     scratch = scratch or Scratch(df.sparkSession)
     level = scratch.keep(count_ngrams(df, order, reference), f"grams{order}")
     levels = []
     for n in range(order, 0, -1):
-        found, _ = bounded(level, max_grams)
-        levels.append(found)
+        levels.append(gathered(level))
         if n > 1:
             level = scratch.keep(shorter(level, n), f"grams{n - 1}")
     scratch.drop(*(f"grams{n}" for n in range(1, order + 1)))
@@ -225,13 +224,13 @@ def weighted_median(pairs: list[tuple[float, int]]) -> float:
     return 0.0
 
 
-def quality_rules(df: DataFrame, columns: list[str] | None = None, width: float = 10.0, short: float = 3.0, max_grams: int = 1 << 22, scratch: Scratch | None = None) -> DataFrame:
+def quality_rules(df: DataFrame, columns: list[str] | None = None, width: float = 10.0, short: float = 3.0, scratch: Scratch | None = None) -> DataFrame:
     """Rows of df (their `columns`, all by default) with FEATURES, lower, upper and kept."""
     scratch = scratch or Scratch(df.sparkSession)
     added = [x.split()[0] for x in FEATURES.split(", ")] + ["lower", "upper", "kept"]
     columns = [c for c in (df.columns if columns is None else columns) if c not in added]
     g, raw = F.coalesce(F.col("lang"), F.lit("\x00null")).alias("_g"), F.col("text").cast("binary").alias("_raw")
-    model = fit(df.select(g.alias("g"), F.coalesce(raw, F.lit(b"")).alias("raw")), max_grams=max_grams, scratch=scratch)
+    model = fit(df.select(g.alias("g"), F.coalesce(raw, F.lit(b"")).alias("raw")), scratch=scratch)
     source = df.select(*columns, g, raw)
     schema = T.StructType([f for f in source.schema if f.name != "_raw"] + list(T._parse_datatype_string(FEATURES)))
     scored = scratch.keep(source.mapInArrow(tidied(_features(model, schema)), schema), "scored")

@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from siltstone.llm import quality_rules as rules
 from siltstone.llm.ngrams import HashArray, slabs
 from siltstone.llm.quality_rules import KneserNey, base_features, quality_rules
 from siltstone.llm.queries import queries
@@ -91,3 +92,17 @@ def test_edge_rows(spark):
     assert sorted((r["doc_id"] or 0, r["base_failed"]) for r in got) == [(0, False), (1, False), (1, False), (2, True), (3, True), (4, True)]
     assert len({r["kept"] for r in got if r["text"] == good}) == 1
     assert quality_rules(spark.createDataFrame([], "doc_id long, text string, lang string")).collect() == []
+
+
+def test_model_keeps_every_gram_beside_a_hot_language(spark, monkeypatch):
+    rng, seen = np.random.default_rng(4), {}
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", dtype=np.uint8)
+    hot = [bytes(letters[rng.integers(0, 36, 250_000)]) for _ in range(20)]
+    small = b"unto bread sky"
+    monkeypatch.setattr(rules, "KneserNey", lambda levels: seen.update(top=levels[-1]) or "fitted")
+    rows = [("hot", bytearray(r)) for r in hot] + [("small", bytearray(small))]
+    assert rules.fit(spark.createDataFrame(rows, "g string, raw binary")) == "fitted"
+    for g, raws in (("hot", hot), ("small", [small])):
+        want, n = np.unique(np.concatenate([x for x, _, _ in slabs(raws, 5)]), return_counts=True)
+        assert np.array_equal(seen["top"][g][0], want) and np.array_equal(seen["top"][g][1], n)
+    assert len(seen["top"]["hot"][0]) > 1 << 22
