@@ -1,7 +1,7 @@
 """Operator 6, quality rules by n-gram perplexity.
 
 Byte 5-grams of all reference texts (those with few symbols) are counted with Spark by
-language. From them comes an
+language; a language without any reference text is counted over all its texts. From them comes an
 interpolated modified Kneser-Ney model (raw counts at the top order, continuation
 counts below, three discounts an order), held as sorted hash arrays. A text's
 perplexity is judged against a lower and an upper band of its own language, set
@@ -12,7 +12,8 @@ Base rules: fewer than 20 words, or more than 30 % of words inside 8-word window
 that the text repeats.
 
 Defined cases: null text is an empty text (fails the base rules); null lang is a
-language of its own; repeated rows count each time and get the same verdict; an
+language of its own; a language of symbol-rich texts only is judged by a model and
+bands of those texts; repeated rows count each time and get the same verdict; an
 empty table gives no rows; other columns pass through, and columns that clash with
 the added ones are replaced.
 """
@@ -115,15 +116,19 @@ def reference(raw: bytes) -> bytes | None:
 
 
 def fit(df: DataFrame, order: int = ORDER, scratch: Scratch | None = None) -> KneserNey | None:
-    """Counts over all reference texts of df (g string, raw binary), every gram kept. None if there are none."""
+    """Counts over the reference texts of df (g string, raw binary), or all texts of a g without any; every gram kept. None if df is empty."""
     scratch = scratch or Scratch(df.sparkSession)
     level = scratch.keep(count_ngrams(df, order, reference), f"grams{order}")
+    known = level.select("g").distinct()
+    bare = [r["g"] for r in df.select("g").distinct().join(known, "g", "left_anti").collect()]  # languages
+    if bare:
+        level = level.unionByName(scratch.keep(count_ngrams(df.filter(F.col("g").isin(bare)), order), "bare"))
     levels = []
     for n in range(order, 0, -1):
         levels.append(gathered(level))
         if n > 1:
             level = scratch.keep(shorter(level, n), f"grams{n - 1}")
-    scratch.drop(*(f"grams{n}" for n in range(1, order + 1)))
+    scratch.drop("bare", *(f"grams{n}" for n in range(1, order + 1)))
     return KneserNey(levels[::-1]) if levels[0] else None
 
 

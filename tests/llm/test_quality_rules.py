@@ -106,3 +106,16 @@ def test_model_keeps_every_gram_beside_a_hot_language(spark, monkeypatch):
         want, n = np.unique(np.concatenate([x for x, _, _ in slabs(raws, 5)]), return_counts=True)
         assert np.array_equal(seen["top"][g][0], want) and np.array_equal(seen["top"][g][1], n)
     assert len(seen["top"]["hot"][0]) > 1 << 22
+
+
+def test_languages_without_reference_texts(spark):
+    good = "The quick brown fox jumps over a lazy dog while many other animals watch from under the old oak tree near our river bank today"
+    code = "if (*p && *q) { a = *p | *q; } else { b = *p & *q; } for (i = 0; i < n; i++) { sum += *x * *y; } while (a > b) { a = a | b; }"
+    data = [(i, good, "en") for i in range(3)] + [(9, code, "c"), (10, code, "c"), (11, code, None)]
+    schema = "doc_id long, text string, lang string"
+    got = {r["doc_id"]: r for r in quality_rules(spark.createDataFrame(data, schema)).collect()}
+    alone = {r["doc_id"]: r for r in quality_rules(spark.createDataFrame(data[3:], schema)).collect()}
+    assert len(got) == len(data) and set(alone) == {9, 10, 11}
+    for d in (9, 10, 11):
+        assert got[d]["kept"] and not got[d]["base_failed"] and got[d]["lower"] < 10 ** got[d]["log10_perplexity"] < got[d]["upper"]
+        assert alone[d]["log10_perplexity"] == got[d]["log10_perplexity"]
