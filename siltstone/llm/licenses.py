@@ -7,7 +7,9 @@ one that no file has, so that long prose lines score low.
 
 Only lines that can reach the threshold are scored: per template, the heaviest words
 are taken until what is left could not reach it, and a line needs one of those words
-(an exact prefix filter). A file's own licence is that of its best line.
+(an exact prefix filter). Templates may also be wrapped over lines or stand inside a longer
+line: around each of its heavy words, wherever in the file, a template is compared with the
+window of as many words as it has. A file's own licence is that of its best line or window.
 
 A file named LICENSE, LICENCE, COPYING or NOTICE, or a short file that holds a licence
 line, is a licence file: it covers its directory. A file without a licence of its own
@@ -23,6 +25,7 @@ replaced.
 from __future__ import annotations
 
 import math
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -55,8 +58,6 @@ SALT = 16
 
 
 def terms(text: str) -> dict[str, int]:
-    import re
-
     out: dict[str, int] = {}
     for w in re.findall(r"[a-z0-9]+", text.lower()):
         out[w] = out.get(w, 0) + 1
@@ -95,7 +96,8 @@ def own_license(files: DataFrame, threshold: float = THRESHOLD, templates: list[
     idf = {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for w in vocabulary}
     unknown = math.log(1 + n) + 1
     weights = [{w: k * idf[w] for w, k in v.items()} for _, v in vectors]
-    trigger = sorted(set().union(*(heavy(w, threshold) for w in weights)))
+    heavies = [heavy(w, threshold) for w in weights]
+    trigger = sorted(set().union(*heavies))
     pattern = f"(?<![a-z0-9])(?:{'|'.join(trigger)})(?![a-z0-9])"
     idf_map = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, idf[w])])
 
@@ -107,27 +109,46 @@ def own_license(files: DataFrame, threshold: float = THRESHOLD, templates: list[
         for i, v in enumerate(weights)
     ])
 
-    def scored(line: Column) -> Column:
-        words = line_words(line)
+    def scored(words: Column, against: Column = known) -> Column:
         tf = F.transform(F.array_distinct(words), lambda w: F.struct(
             w.alias("w"),
             (F.size(F.filter(words, lambda x: x == w)) * F.coalesce(F.try_element_at(idf_map, w), F.lit(unknown))).alias("x"),
         ))
         norm = F.sqrt(F.aggregate(tf, F.lit(0.0), lambda a, t: a + t["x"] * t["x"]))
-        return F.array_max(F.transform(known, lambda k: F.struct(
+        return F.array_max(F.transform(against, lambda k: F.struct(
             F.round(F.aggregate(tf, F.lit(0.0), lambda a, t: a + t["x"] * F.coalesce(F.try_element_at(k["w"], t["w"]), F.lit(0.0))) / (norm * k["norm"]), 4).alias("score"),
             k["rank"].alias("rank"),
         )))
 
+    def anchors(word: str) -> list[Column]:
+        """Where a heavy word stands in its templates."""
+        found = [(i, j, len(ws)) for i, ws in enumerate(ordered) if word in heavies[i] for j, w in enumerate(ws) if w == word]
+        return [F.struct(F.lit(i + 1).alias("at"), F.lit(j).alias("offset"), F.lit(size).alias("size")) for i, j, size in found]
+
+    ordered = [re.findall(r"[a-z0-9]+", text.lower()) for _, text in templates]
+    anchor_map = F.create_map(*[x for w in trigger for x in (F.lit(w), F.array(*anchors(w)))])
+    places = F.filter(F.transform("_words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(trigger))
+    windows = F.array_distinct(F.flatten(F.transform(places, lambda x: F.transform(
+        F.try_element_at(anchor_map, x["w"]),
+        lambda a: F.struct(a["at"].alias("at"), (x["i"] - a["offset"]).alias("start"), a["size"].alias("size")),
+    ))))
+    cut = F.transform(windows, lambda x: F.struct(
+        x["at"].alias("at"),
+        F.slice("_words", F.greatest(x["start"], F.lit(0)) + 1, x["size"] + F.least(x["start"], F.lit(0))).alias("words"),
+    ))
     lines = F.filter(F.split("text", "\n"), lambda x: F.lower(x).rlike(pattern))
-    best = F.array_max(F.transform(lines, scored))
+    best = F.array_max(F.concat(
+        F.transform(F.transform(lines, line_words), lambda x: scored(x)),
+        F.transform(cut, lambda x: scored(x["words"], F.array(F.element_at(known, x["at"])))),
+    ))
     names = F.array(*[F.lit(name) for name, _ in templates])
-    found = files.withColumn("_best", F.when(F.col("text").isNotNull() & F.lower("text").rlike(pattern), best))
+    held = files.withColumn("_words", F.when(F.col("text").isNotNull() & F.lower("text").rlike(pattern), line_words(F.col("text"))))
+    found = held.withColumn("_best", F.when(F.col("_words").isNotNull(), best))
     sure = F.coalesce(F.col("_best.score") >= threshold, F.lit(False))
     return found.withColumns({
         "own_license": F.when(sure, F.element_at(names, 1 - F.col("_best.rank"))),
         "score": F.when(sure, F.col("_best.score")).otherwise(0.0),
-    }).drop("_best")
+    }).drop("_best", "_words")
 
 
 def ancestors(directory: Column) -> Column:

@@ -44,3 +44,20 @@ def test_prefix_filter_is_exact():
     assert heavy(w, 0.75) == {"a", "b"} or heavy(w, 0.75) == {"a"}
     rest = {k: v for k, v in w.items() if k not in heavy(w, 0.75)}
     assert sum(v * v for v in rest.values()) < 0.75**2 * 14
+
+
+def test_wrapped_and_embedded_templates(spark):
+    prose = "plain prose of many words " * 20
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are\n# met:"
+    gpl = (
+        " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n"
+        " * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version."
+    )
+    nc = "This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0\nInternational License."
+    inside = prose + "Released under the MIT License. " + prose
+    data = [("b/LICENSE", bsd), ("b/x.c", prose), ("g/COPYING", prose + "\n" + gpl + "\n" + prose), ("g/y.c", prose), ("n/a.txt", nc), ("m/z.c", inside), ("o/cut.c", gpl[30:])]
+    got = {r["path"]: (r["license"], r["licensed_by"]) for r in license_scan(spark.createDataFrame(data, "path string, text string")).collect()}
+    assert got == {
+        "b/LICENSE": ("BSD-3-Clause", "own"), "b/x.c": ("BSD-3-Clause", "/b"), "g/COPYING": ("GPL-3.0", "own"), "g/y.c": ("GPL-3.0", "/g"),
+        "n/a.txt": ("CC-BY-NC-4.0", "own"), "m/z.c": ("MIT", "own"), "o/cut.c": ("GPL-3.0", "own"),
+    }
