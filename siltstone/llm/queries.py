@@ -76,7 +76,7 @@ def op9_minimum_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame
 def op10_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
-    out = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    out = mix(table(spark, sf_dir, "documents"), columns=["doc_id"])
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
