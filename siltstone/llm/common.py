@@ -73,18 +73,22 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+_open: dict[str, "Scratch"] = {}
+
+
 class Scratch:
     """Written tables in the shared folder that cut lineage.
 
     `keep` writes a table and reads it back; `drop` deletes one that no later
-    plan reads. What is left goes when the driver's process ends.
+    plan reads. A result may read what is left, so that it stays until its owner
+    calls `drop()`, or `release` once the session's results are written, or the driver's process ends.
     """
 
     def __init__(self, spark: SparkSession):
         prepare(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/siltstone-{uuid.uuid4().hex[:12]}"
-        atexit.register(self._delete, self.root)
+        _open[self.root] = self
 
     def _delete(self, path: str) -> None:
         try:
@@ -105,10 +109,31 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Delete these tables; all of them if none is named."""
+        if not names:
+            _open.pop(self.root, None)
         for name in names or ("",):
             self._delete(f"{self.root}/{name}".rstrip("/"))
 
 
+def release(spark: SparkSession | None = None) -> None:
+    """Delete the scratch tables of all results so far, of this session or of all. Such results can't be read again."""
+    for scratch in list(_open.values()):
+        if spark is None or scratch.spark is spark:
+            scratch.drop()
+
+
+atexit.register(release)
+
+
+def packed(columns: list[str]) -> Column:
+    """The caller's columns as one struct, so that no name of theirs clashes with one an operator uses on the way."""
+    return F.struct(*(F.col(f"`{c}`") for c in columns)) if columns else F.lit(None).cast("struct<none:int>")
+
+
+def unpacked(columns: list[str], row: str = "row") -> list[Column]:
+    return [F.col(row).getField(c).alias(c) for c in columns]
+
+
 def word_count(text: Column) -> Column:
     """Number of words, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_RE)), F.lit(0)).cast("long")

@@ -5,10 +5,10 @@ filters slide over embedded bytes; each filter is max-pooled within a chunk, and
 document's features are the mean and the maximum of that over its chunks. A logistic
 layer makes one probability of them.
 
-Training runs on the driver, on chunks of a bounded sample of labelled rows (`per_class`
-rows of each label with the smallest hash, `chunks` chunks of each), with a fixed number of steps,
+Training runs on the driver, on the whole texts of a bounded sample of labelled rows (the `per_class`
+rows of each label with the smallest hash, without those of more than `longest` bytes), with a fixed number of steps,
 so its cost doesn't depend on the corpus. Batches are balanced; the bias is then
-moved to the labels' own proportion. Scoring reads every byte of every text.
+moved to the labels' own proportion. Scoring reads every byte of every text, however long.
 
 Scoring uses that a filter over embedded bytes is a sum of table entries: pairs of
 neighbouring bytes index tables of 65,536 rows, one table for two taps.
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import tidied
+from .common import packed, tidied, unpacked
 
 CHUNK, STEP, BLOCK = 512, 448, 64  # chunks of 512 bytes every 448: blocks of 64 make both
 TAPS, EMBED, FILTERS = 8, 6, 24
@@ -52,6 +52,36 @@ class Net:
         return np.stack([(one[t][:, None, :] + one[t + 1][None, :, :]).reshape(65536, FILTERS) for t in range(0, TAPS, 2)])
 
 
+GROUP = 384  # chunks that training holds at once, beside those of one more text
+
+
+def gradient(params: list[np.ndarray], texts: list[np.ndarray], labels: np.ndarray) -> list[np.ndarray]:
+    """Gradient of the summed log loss by embedding, filters, their bias, output layer and base."""
+    x = np.concatenate(texts).astype(np.int64)
+    n = np.array([len(t) for t in texts])
+    doc, start = np.repeat(np.arange(len(texts)), n), np.cumsum(n) - n
+    e = params[0].astype(np.float32)[x]
+    view = np.lib.stride_tricks.sliding_window_view(e, TAPS, axis=1)  # (N, L, EMBED, TAPS)
+    patches = np.ascontiguousarray(view.transpose(0, 1, 3, 2)).reshape(len(x), -1, TAPS * EMBED)
+    h = patches @ params[1].astype(np.float32)
+    at = h.argmax(1)  # (N, FILTERS)
+    top = np.take_along_axis(h, at[:, None, :], 1)[:, 0, :] + params[2]
+    act = np.maximum(top, 0)
+    mean, most = np.add.reduceat(act, start) / n[:, None], np.maximum.reduceat(act, start)
+    feature = np.concatenate([mean, most], 1)
+    d = 1 / (1 + np.exp(-(feature @ params[3] + params[4]))) - labels
+    g_feature = d[:, None] * params[3]
+    g_act = (g_feature[:, :FILTERS] / n[:, None])[doc] + g_feature[:, FILTERS:][doc] * (act == most[doc])
+    g_top = g_act * (top > 0)
+    rows = np.arange(len(x))[:, None]
+    g_filters = np.einsum("nfp,nf->pf", patches[rows, at], g_top)
+    g_patch = g_top[:, :, None] * params[1].T[None]
+    g_embed = np.zeros_like(params[0])
+    for t in range(TAPS):
+        np.add.at(g_embed, x[rows, at + t].ravel(), g_patch[:, :, t * EMBED : (t + 1) * EMBED].reshape(-1, EMBED))
+    return [g_embed, g_filters, g_top.sum(0), feature.T @ d, np.array([d.sum()])]
+
+
 def fit(chunks: list[np.ndarray], labels: np.ndarray, steps: int = 500, batch: int = 64, rate: float = 0.01, seed: int = 0) -> Net:
     """Adam on balanced batches. chunks[i] is (number of chunks, CHUNK) bytes of text i."""
     rng = np.random.default_rng(seed)
@@ -61,35 +91,16 @@ def fit(chunks: list[np.ndarray], labels: np.ndarray, steps: int = 500, batch: i
     sides = [np.flatnonzero(labels == 0), np.flatnonzero(labels == 1)]
     for step in range(1, steps + 1):
         pick = np.concatenate([rng.choice(s, batch // 2) for s in sides])
-        x = np.concatenate([chunks[i] for i in pick]).astype(np.int64)
-        doc = np.repeat(np.arange(batch), [len(chunks[i]) for i in pick])
-        n = np.bincount(doc, minlength=batch)
-        start = np.cumsum(n) - n
-        e = params[0].astype(np.float32)[x]
-        view = np.lib.stride_tricks.sliding_window_view(e, TAPS, axis=1)  # (N, L, EMBED, TAPS)
-        patches = np.ascontiguousarray(view.transpose(0, 1, 3, 2)).reshape(len(x), -1, TAPS * EMBED)
-        h = patches @ params[1].astype(np.float32)
-        at = h.argmax(1)  # (N, FILTERS)
-        top = np.take_along_axis(h, at[:, None, :], 1)[:, 0, :] + params[2]
-        act = np.maximum(top, 0)
-        mean = np.add.reduceat(act, start) / n[:, None]
-        most = np.maximum.reduceat(act, start)
-        feature = np.concatenate([mean, most], 1)
-        p = 1 / (1 + np.exp(-(feature @ params[3] + params[4])))
-        d = (p - labels[pick]) / batch
-        g_out, g_base = feature.T @ d + 1e-4 * params[3], np.array([d.sum()])
-        g_feature = d[:, None] * params[3]
-        g_act = (g_feature[:, :FILTERS] / n[:, None])[doc] + g_feature[:, FILTERS:][doc] * (act == most[doc])
-        g_top = g_act * (top > 0)
-        rows = np.arange(len(x))[:, None]
-        chosen = patches[rows, at]  # (N, FILTERS, TAPS * EMBED)
-        g_filters = np.einsum("nfp,nf->pf", chosen, g_top)
-        g_patch = g_top[:, :, None] * params[1].T[None]
-        g_embed = np.zeros_like(params[0])
-        for t in range(TAPS):
-            np.add.at(g_embed, x[rows, at + t].ravel(), g_patch[:, :, t * EMBED : (t + 1) * EMBED].reshape(-1, EMBED))
+        pick = pick[np.argsort([len(chunks[i]) for i in pick], kind="stable")]
+        total = [np.zeros_like(p) for p in params]
+        # texts of many chunks come in groups of their own: memory doesn't follow the longest
+        group = np.cumsum([len(chunks[i]) for i in pick]) // GROUP
+        for g in np.unique(group):
+            for t, x in zip(total, gradient(params, [chunks[i] for i in pick[group == g]], labels[pick[group == g]])):
+                t += x / batch
+        total[3] += 1e-4 * params[3]
         speed = rate * min(1, step / 30) * (0.1 + 0.9 * (1 - step / steps))
-        for q, g, (a, b) in zip(params, (g_embed, g_filters, g_top.sum(0), g_out, g_base), moments):
+        for q, g, (a, b) in zip(params, total, moments):
             a += 0.1 * (g - a)
             b += 0.01 * (g * g - b)
             q -= speed * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
@@ -148,28 +159,17 @@ def doc_scores(tables: np.ndarray, net: Net, raws: list[bytes], limit: int = 1 <
     return 1 / (1 + np.exp(-z))
 
 
-def sample_chunks(raw: bytes, most: int) -> bytes:
-    """Up to `most` chunks spread over the text, for training."""
-    starts = list(range(0, max(1, len(raw) - (CHUNK - STEP)), STEP))
-    if len(starts) > most:
-        starts = [starts[round(i * (len(starts) - 1) / (most - 1))] for i in range(most)]
-    return b"".join(raw[s : s + CHUNK].ljust(CHUNK, b"\0") for s in starts)
-
-
-def _sampled(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cut = [sample_chunks(x or b"", most) for x in b.column("raw").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(cut, pa.binary())], names=["doc_id", "label", "chunks"])
-
-    return run
+def chunked(raw: bytes) -> np.ndarray:
+    """All chunks of a text, for training."""
+    starts = range(0, max(1, len(raw) - (CHUNK - STEP)), STEP)
+    return np.stack([np.frombuffer(raw[s : s + CHUNK].ljust(CHUNK, b"\0"), dtype=np.uint8) for s in starts])
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(False))
 
 
-def train(documents: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1500, chunks: int = 6, steps: int = 500) -> Net | float:
+def train(documents: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1500, longest: int = 1 << 16, steps: int = 500) -> Net | float:
     """The net; a constant score if not both labels occur outside the held-out fold."""
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min(label).alias("label"))
@@ -178,11 +178,12 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", per_c
         part = known.filter(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
     rows = documents.select("doc_id", F.col("text").cast("binary").alias("raw")).join(F.broadcast(picked), "doc_id")  # at most 2 * per_class ids
-    got = rows.mapInArrow(tidied(_sampled(chunks)), "doc_id long, label int, chunks binary").orderBy("doc_id", "chunks").limit(4 * per_class).collect()
+    rows = rows.select("doc_id", "label", F.coalesce("raw", F.lit(b"")).alias("raw")).filter(F.octet_length("raw") <= longest)
+    got = rows.orderBy("doc_id", "raw").limit(4 * per_class).collect()  # ids may repeat
     y = np.array([r["label"] for r in got])
     if len(set(y.tolist())) < 2:
         return float(y.mean()) if len(y) else 0.5
-    net = fit([np.frombuffer(r["chunks"], dtype=np.uint8).reshape(-1, CHUNK) for r in got], y, steps)
+    net = fit([chunked(bytes(r["raw"])) for r in got], y, steps)
     share = known.agg(F.avg("label")).first()[0]
     own = float((y == 1).mean())
     net.base += float(np.log(share / (1 - share)) - np.log(own / (1 - own)))
@@ -199,7 +200,7 @@ def _score(net: Net | float, schema: T.StructType):
         for big in batches:
             for s in range(0, big.num_rows, 512):
                 b = big.slice(s, 512)
-                raws = [x or b"" for x in b.column("_raw").to_pylist()]
+                raws = [x or b"" for x in b.column("raw").to_pylist()]
                 p = doc_scores(tables, net, raws) if isinstance(net, Net) else np.full(len(raws), net)
                 cols = [pa.array(p, pa.float64()) if f.name == "score" else b.column(f.name) for f in schema]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
@@ -210,9 +211,8 @@ def _score(net: Net | float, schema: T.StructType):
 def classify(documents: DataFrame, labels: DataFrame, label: str = "quality", columns: list[str] | None = None, threshold: float = 0.3, **options) -> DataFrame:
     """Rows of documents (their `columns`, all by default) with score, held_out and predicted."""
     net = train(documents, labels, label, **options)
-    columns = [c for c in (documents.columns if columns is None else columns) if c not in ("score", "held_out", "predicted", "_raw")]
-    source = documents.select(*columns, F.col("text").cast("binary").alias("_raw"))
-    schema = T.StructType([f for f in source.schema if f.name != "_raw"] + [T.StructField("score", T.DoubleType())])
-    return source.mapInArrow(tidied(_score(net, schema)), schema).withColumns({
-        "held_out": held_out(F.col("doc_id")), "predicted": (F.col("score") >= threshold).cast("int"),
-    })
+    columns = [c for c in (documents.columns if columns is None else columns) if c not in ("score", "held_out", "predicted")]
+    source = documents.select(packed(columns).alias("row"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("binary").alias("raw"))
+    schema = T.StructType([f for f in source.schema if f.name != "raw"] + [T.StructField("score", T.DoubleType())])
+    out = source.mapInArrow(tidied(_score(net, schema)), schema)
+    return out.select(*unpacked(columns), "score", "held_out", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import pytest
 
-from siltstone.llm.quality_net import CHUNK, FILTERS, STEP, TAPS, Net, classify, doc_scores
+from siltstone.llm.quality_net import CHUNK, EMBED, FILTERS, STEP, TAPS, Net, chunked, classify, doc_scores, gradient
 from siltstone.llm.queries import queries
 
 
@@ -37,6 +37,33 @@ def test_scores_cover_the_whole_text(limit):
     assert np.allclose(got, [brute(net, r) for r in raws], atol=1e-5)
 
 
+def test_gradient_against_differences():
+    rng = np.random.default_rng(3)
+    params = [rng.normal(size=s) * 0.3 for s in ((256, EMBED), (TAPS * EMBED, FILTERS), (FILTERS,), (2 * FILTERS,), (1,))]
+    texts, y = [chunked(bytes(rng.integers(0, 256, n, dtype=np.uint8))) for n in (100, 900, 3000)], np.array([0, 1, 1])
+    assert [len(t) for t in texts] == [1, 2, 7]
+
+    def loss():
+        p = doc_scores(Net(*params[:4], float(params[4][0])).tables(), Net(*params[:4], float(params[4][0])), [b"".join(c[:STEP].tobytes() for c in t[:-1]) + t[-1].tobytes() for t in texts])
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).sum()
+
+    for param, grad in zip(params, gradient(params, texts, y)):
+        for i in rng.choice(param.size, min(5, param.size), replace=False):
+            old = param.flat[i]
+            param.flat[i] = old + 1e-3
+            up = loss()
+            param.flat[i] = old - 1e-3
+            down = loss()
+            param.flat[i] = old
+            assert abs((up - down) / 2e-3 - grad.flat[i]) < 2e-2 * max(1, abs(grad.flat[i]))
+
+
+def test_columns_of_any_name_pass_through(spark):
+    docs = spark.createDataFrame([(1, "a b", 5, 6, 7, 8)], "doc_id long, text string, _raw int, raw int, row int, score int")
+    got = classify(docs, spark.createDataFrame([], "doc_id long, quality int")).first()
+    assert (got["_raw"], got["raw"], got["row"], got["score"]) == (5, 6, 7, 0.5)
+
+
 def test_query_learns_and_holds_out(spark):
     sf = "/root/testdata/sf0.1"
     got = queries()["op1_byte_conv_quality"](spark, sf).toPandas()
@@ -47,6 +74,8 @@ def test_query_learns_and_holds_out(spark):
     m = got.merge(spark.read.parquet(f"{sf}/labels.parquet").toPandas(), on="doc_id")
     m = m[m.held_out]
     assert auc(m.score, m.quality) > 0.95
+    long = m.doc_id.map(dict(zip(docs.doc_id, docs.text.str.len()))) > 4000
+    assert (m[long].predicted == m[long].quality).mean() > 0.9  # texts of many chunks are judged as well
 
 
 def test_edge_rows(spark):
