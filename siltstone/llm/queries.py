@@ -18,9 +18,10 @@ def op1_byte_conv_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_histogram_sort_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import histogram_sort
 
-    out = histogram_sort(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=24)
+    docs = table(spark, sf_dir, "documents").withColumn("text_crc32", F.crc32("text"))  # null for a null text
+    out = histogram_sort(docs, shards=24, columns=["doc_id", "text_crc32", "text"])
     return out.select(
-        "doc_id", "size", F.crc32("text").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
 
@@ -54,7 +55,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import license_scan
 
     path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.col("doc_id").cast("string"))
-    out = license_scan(table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path")))
+    out = license_scan(table(spark, sf_dir, "documents").withColumn("path", path), columns=["doc_id", "path"])
     return out.select("doc_id", "path", "own_license", "score", "license_file", "license", "licensed_by")
 
 

@@ -11,7 +11,8 @@ A splitter stays on the edge of a group of equal texts if that edge is within
 
 Defined cases: null text weighs 8 bytes and all null texts form one group (key
 -1); null doc_id sorts first; repeated rows (same text and doc_id) never part;
-an empty table gives no rows; other columns pass through, and columns that clash
+a very long text is one row like any other, and a shard that holds it may be larger by
+it; an empty table gives no rows; other columns pass through, and columns that clash
 with the ones added are replaced.
 """
 
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, hex_key
+from .common import Scratch, hex_key, packed, unpacked
 from .splitters import Edge, locate
 
 NO_ID = -(2**63)
@@ -46,22 +47,22 @@ def nearest(e: Edge, target: float) -> tuple[float, bool]:
     return (low, False) if low <= high else (high, True)
 
 
-def histogram_sort(df: DataFrame, shards: int = 24, tolerance: float = 0.02, piece_bytes: int = 128 << 20, scratch: Scratch | None = None) -> DataFrame:
-    """All rows of df, with size, text_key, shard and slot.
+def histogram_sort(df: DataFrame, shards: int = 24, tolerance: float = 0.02, piece_bytes: int = 512 << 20, columns: list[str] | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """Rows of df (their `columns`, all by default), with size, text_key, shard and slot.
 
     Within a shard, slots follow the order by (text_key, doc_id), from 0 without
-    gaps. A shard is exchanged as up to 256 pieces of about `piece_bytes`, each
-    sorted by one task.
+    gaps. A shard is exchanged as pieces of about `piece_bytes`, each sorted by one task.
     """
     scratch = scratch or Scratch(df.sparkSession)
-    rows = df.withColumns({
+    columns = [c for c in (df.columns if columns is None else columns) if c not in ("size", "text_key", "shard", "slot")]
+    rows = df.select(packed(columns).alias("row"), "text", "doc_id").withColumns({
         "size": (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long"),
         "text_key": F.coalesce(hex_key(F.col("text"), 15), F.lit(-1)),
         "_sub": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)),
     })
     digest = scratch.keep(rows.select(F.col("text_key").alias("key"), "_sub", F.col("size").alias("w")), "digest")
     total = digest.agg(F.sum("w")).first()[0] or 0
-    per_shard = max(1, min(256, math.ceil(total / shards / piece_bytes)))
+    per_shard = max(1, math.ceil(total / shards / piece_bytes))
     pieces = shards * per_shard
     wanted = [total * j / pieces for j in range(1, pieces)]
     slack = [tolerance * total / shards if j % per_shard == 0 else total / pieces / 2 for j in range(1, pieces)]
@@ -102,7 +103,7 @@ def histogram_sort(df: DataFrame, shards: int = 24, tolerance: float = 0.02, pie
         return pd.Series(piece_of(k1, k2, key.to_numpy(), sub.to_numpy()).astype(np.int32))
 
     placed = (
-        rows.withColumn("_piece", piece("text_key", "_sub"))
+        rows.select("row", "size", "text_key", "_sub", piece("text_key", "_sub").alias("_piece"))
         .repartitionById(pieces, F.col("_piece"))
         .sortWithinPartitions("text_key", "_sub")
         .withColumns({
@@ -110,4 +111,4 @@ def histogram_sort(df: DataFrame, shards: int = 24, tolerance: float = 0.02, pie
             "slot": F.element_at(F.lit(base), F.col("_piece") + 1).cast("long") + F.monotonically_increasing_id().bitwiseAND(F.lit(LOCAL)),
         })
     )
-    return placed.drop("_piece", "_sub")
+    return placed.select(*unpacked(columns), "size", "text_key", "shard", "slot")
