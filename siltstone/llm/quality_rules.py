@@ -12,7 +12,7 @@ Base rules: fewer than 20 words, or more than 30 % of words inside 8-word window
 that the text repeats.
 
 Defined cases: null text is an empty text (fails the base rules); null lang is a
-language of its own; a language of symbol-rich texts only is judged by a model and
+language of its own; very long texts are scored whole, in slabs; a language of symbol-rich texts only is judged by a model and
 bands of those texts; repeated rows count each time and get the same verdict; an
 empty table gives no rows; other columns pass through, and columns that clash with
 the added ones are replaced.
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, tidied
+from .common import Scratch, packed, tidied, unpacked
 from .ngrams import HashArray, count_ngrams, gathered, runs, shorter, slabs
 
 ORDER = 5
@@ -180,11 +180,11 @@ def _features(model: KneserNey | None, schema: T.StructType):
         for big in batches:
             for s in range(0, big.num_rows, 512):
                 b = big.slice(s, 512)
-                raws = [x or b"" for x in b.column("_raw").to_pylist()]
+                raws = [x or b"" for x in b.column("raw").to_pylist()]
                 out = base_features(raws)
                 sums = np.zeros(len(raws))
                 by: dict[str, list[int]] = {}
-                for i, g in enumerate(b.column("_g").to_pylist()):
+                for i, g in enumerate(b.column("g").to_pylist()):
                     by.setdefault(g, []).append(i)
                 for g, who in by.items():
                     index = np.array(who)
@@ -205,13 +205,13 @@ def bands(scored: DataFrame, width: float, short: float) -> dict[str, tuple[floa
     """
     bins = (
         scored.filter(~F.col("base_failed"))
-        .groupBy("_g", F.round(F.col("log10_perplexity") * 2000).cast("long").alias("bin"))
+        .groupBy("g", F.round(F.col("log10_perplexity") * 2000).cast("long").alias("bin"))
         .agg(F.count("*").alias("n"))
         .collect()
     )
     by: dict[str, list[tuple[int, int]]] = {}
     for r in bins:
-        by.setdefault(r["_g"], []).append((r["bin"], r["n"]))
+        by.setdefault(r["g"], []).append((r["bin"], r["n"]))
     out = {}
     for g, pairs in by.items():
         mid = weighted_median(pairs)
@@ -232,19 +232,17 @@ def weighted_median(pairs: list[tuple[float, int]]) -> float:
 def quality_rules(df: DataFrame, columns: list[str] | None = None, width: float = 10.0, short: float = 3.0, scratch: Scratch | None = None) -> DataFrame:
     """Rows of df (their `columns`, all by default) with FEATURES, lower, upper and kept."""
     scratch = scratch or Scratch(df.sparkSession)
-    added = [x.split()[0] for x in FEATURES.split(", ")] + ["lower", "upper", "kept"]
-    columns = [c for c in (df.columns if columns is None else columns) if c not in added]
-    g, raw = F.coalesce(F.col("lang"), F.lit("\x00null")).alias("_g"), F.col("text").cast("binary").alias("_raw")
-    model = fit(df.select(g.alias("g"), F.coalesce(raw, F.lit(b"")).alias("raw")), scratch=scratch)
-    source = df.select(*columns, g, raw)
-    schema = T.StructType([f for f in source.schema if f.name != "_raw"] + list(T._parse_datatype_string(FEATURES)))
+    own = [x.split()[0] for x in FEATURES.split(", ")]
+    columns = [c for c in (df.columns if columns is None else columns) if c not in (*own, "lower", "upper", "kept")]
+    g, raw = F.coalesce(F.col("lang"), F.lit("\x00null")).alias("g"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw")
+    model = fit(df.select(g, raw), scratch=scratch)
+    source = df.select(packed(columns).alias("row"), g, raw)
+    schema = T.StructType([f for f in source.schema if f.name != "raw"] + list(T._parse_datatype_string(FEATURES)))
     scored = scratch.keep(source.mapInArrow(tidied(_features(model, schema)), schema), "scored")
     found = bands(scored, width, short)
-    limits = df.sparkSession.createDataFrame([(g, m, s) for g, (m, s) in found.items()], "_g string, _mid double, _dev double")
-    slack = F.col("_dev") * width + F.lit(short) / F.sqrt(F.col("n_bytes") + 1)
-    out = scored.join(F.broadcast(limits), "_g", "left")  # one row a language
-    return out.withColumns({
-        "lower": F.pow(F.lit(10.0), F.col("_mid") - slack),
-        "upper": F.pow(F.lit(10.0), F.col("_mid") + slack),
-        "kept": ~F.col("base_failed") & F.coalesce(F.abs(F.col("log10_perplexity") - F.col("_mid")) <= slack, F.lit(False)),
-    }).drop("_g", "_mid", "_dev")
+    limits = df.sparkSession.createDataFrame([(k, m, s) for k, (m, s) in found.items()], "g string, mid double, dev double")
+    slack = F.col("dev") * width + F.lit(short) / F.sqrt(F.col("n_bytes") + 1)
+    out = scored.join(limits, "g", "left")  # one row a language; a local table, so that Spark knows its size
+    kept = ~F.col("base_failed") & F.coalesce(F.abs(F.col("log10_perplexity") - F.col("mid")) <= slack, F.lit(False))
+    lower, upper = (F.pow(F.lit(10.0), x) for x in (F.col("mid") - slack, F.col("mid") + slack))
+    return out.select(*unpacked(columns), *own, lower.alias("lower"), upper.alias("upper"), kept.alias("kept"))

@@ -119,3 +119,9 @@ def test_languages_without_reference_texts(spark):
     for d in (9, 10, 11):
         assert got[d]["kept"] and not got[d]["base_failed"] and got[d]["lower"] < 10 ** got[d]["log10_perplexity"] < got[d]["upper"]
         assert alone[d]["log10_perplexity"] == got[d]["log10_perplexity"]
+
+
+def test_columns_of_any_name_pass_through(spark):
+    df = spark.createDataFrame([(1, "a b", "en", 1, 2, 3, 4, 5)], "doc_id long, text string, lang string, _g int, g int, mid int, raw int, kept int")
+    got = quality_rules(df).first()
+    assert [got[c] for c in ("_g", "g", "mid", "raw")] == [1, 2, 3, 4] and got["kept"] is False
