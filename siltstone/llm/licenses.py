@@ -16,7 +16,7 @@ line, is a licence file: it covers its directory. A file without a licence of it
 inherits that of the nearest ancestor directory with one, by joins on paths. Files are
 salted by path there, since one directory may hold a third of them.
 
-Defined cases: null text has no lines; a null path has no ancestors; several licence
+Defined cases: null text has no lines; very long texts are scanned whole; a null path has no ancestors; several licence
 files in a directory: the best score, then the smallest licence, then the smallest path;
 no files, no rows; repeated rows each get a row; columns named like the added ones are
 replaced.
@@ -31,7 +31,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import packed, unpacked, word_count
 
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -186,9 +186,12 @@ def inherit(scanned: DataFrame) -> DataFrame:
     }).drop("_dir", "_salt", "_near")
 
 
-def license_scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """files (path, text, ...) with own_license, score, license_file, license, licensed_by."""
-    return inherit(own_license(files.drop("own_license", "score", "license_file", "license", "licensed_by"), threshold))
+def license_scan(files: DataFrame, threshold: float = THRESHOLD, columns: list[str] | None = None) -> DataFrame:
+    """files (path, text, ...; their `columns`, all by default) with own_license, score, license_file, license, licensed_by."""
+    added = ("own_license", "score", "license_file", "license", "licensed_by")
+    columns = [c for c in (files.columns if columns is None else columns) if c not in added]
+    out = inherit(own_license(files.select(packed(columns).alias("row"), "path", "text"), threshold))
+    return out.select(*unpacked(columns), *added)
 
 
 def oracle() -> str:

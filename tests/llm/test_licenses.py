@@ -61,3 +61,11 @@ def test_wrapped_and_embedded_templates(spark):
         "b/LICENSE": ("BSD-3-Clause", "own"), "b/x.c": ("BSD-3-Clause", "/b"), "g/COPYING": ("GPL-3.0", "own"), "g/y.c": ("GPL-3.0", "/g"),
         "n/a.txt": ("CC-BY-NC-4.0", "own"), "m/z.c": ("MIT", "own"), "o/cut.c": ("GPL-3.0", "own"),
     }
+
+
+def test_columns_of_any_name_and_long_texts(spark):
+    names = ["_near", "_dir", "_salt", "_best", "_words", "_from", "row"]
+    long = "word " * 200_000 + "\nReleased under the MIT License.\n" + "more " * 1000
+    df = spark.createDataFrame([("a/b", long, *range(7), 9)], "path string, text string, " + ", ".join(f"{n} int" for n in names) + ", license int")
+    got = license_scan(df).first()
+    assert [got[n] for n in names] == list(range(7)) and got["license"] == "MIT" and not got["license_file"]
