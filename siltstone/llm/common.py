@@ -125,6 +125,12 @@ def release(spark: SparkSession | None = None) -> None:
 atexit.register(release)
 
 
+def small(spark: SparkSession, rows: list[tuple], schema: str, most: int = 1 << 15) -> DataFrame:
+    """Rows of the driver's as a table; marked for broadcast up to `most` rows."""
+    out = spark.createDataFrame(rows, schema)
+    return F.broadcast(out) if len(rows) <= most else out
+
+
 def packed(columns: list[str]) -> Column:
     """The caller's columns as one struct, so that no name of theirs clashes with one an operator uses on the way."""
     return F.struct(*(F.col(f"`{c}`") for c in columns)) if columns else F.lit(None).cast("struct<none:int>")

@@ -25,6 +25,7 @@ least known doc_id); repeated rows are copies; no rows, no rows; other columns p
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,18 +60,52 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+PART = 1 << 20  # bytes hashed at once
+BLANK = re.compile(rb"[ \t\n\x0b\x0c\r]")
+
+
+def pieces(raw: bytes, limit: int = PART) -> Iterator[bytes]:
+    """A text in pieces of about `limit` bytes, cut between words."""
+    s = 0
+    while len(raw) - s > limit:
+        gap = BLANK.search(raw, s + limit)
+        e = gap.start() if gap else len(raw)
+        yield raw[s:e]
+        s = e
+    if s < len(raw) or not raw:
+        yield raw[s:]
+
+
 def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words, in order, and the number of words of each text."""
-    buf = np.frombuffer(b"\n".join(raws) + b"\n", dtype=np.uint8)
-    up, down = powers(len(buf))
-    total = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
-    space = SPACE[buf]
-    edge = np.flatnonzero(np.diff(np.r_[True, space, True].astype(np.int8)))
-    start, end = edge[::2], edge[1::2]
-    h = mix64((total[end] - total[start]) * down[start])
-    ends = np.cumsum([len(r) + 1 for r in raws])
-    return h, np.diff(np.r_[0, np.searchsorted(start, ends)])
+    out, counts = [np.zeros(0, dtype=np.uint64)], np.zeros(len(raws), dtype=np.int64)
+    part: list[bytes] = []
+    owner: list[int] = []
+    held = 0
+
+    def flush():
+        buf = np.frombuffer(b"\n".join(part) + b"\n", dtype=np.uint8)
+        up, down = powers(len(buf))
+        total = np.zeros(len(buf) + 1, dtype=np.uint64)
+        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
+        space = SPACE[buf]
+        edge = np.flatnonzero(np.diff(np.r_[True, space, True].astype(np.int8)))
+        start, end = edge[::2], edge[1::2]
+        out.append(mix64((total[end] - total[start]) * down[start]))
+        ends = np.cumsum([len(r) + 1 for r in part])
+        np.add.at(counts, owner, np.diff(np.r_[0, np.searchsorted(start, ends)]))
+
+    for i, raw in enumerate(raws):
+        for x in pieces(raw):
+            part.append(x)
+            owner.append(i)
+            held += len(x)
+            if held > PART:
+                flush()
+                part, owner, held = [], [], 0
+    if part:
+        flush()
+    return np.concatenate(out), counts
 
 
 def shingle_sets(raws: list[bytes], width: int = WIDTH) -> list[np.ndarray]:

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, hex_key, word_count
+from .common import Scratch, hex_key, small, word_count
 from .splitters import locate
 
 DIGITS, SCALE = 13, float(2**52)
@@ -67,7 +67,7 @@ def inclusion_scales(thin: DataFrame, part: dict[int, float]) -> dict[int, float
     sure = {g: -1 for g in part}
     while True:
         if scale:
-            table = thin.sparkSession.createDataFrame(sorted(scale.items()), "g int, scale double")
+            table = small(thin.sparkSession, sorted(scale.items()), "g int, scale double")
             rows = thin.join(table, "g").withColumn("sure", F.col("w") * F.col("scale") >= 1)
         else:
             rows = thin.withColumn("sure", F.lit(False))
@@ -111,14 +111,14 @@ def mix(
     goal = targets(sizes, [float(weights[i % len(weights)]) for i in range(len(sizes))], cap)
     whole = [min(int(t // s), int(cap)) if s else 0 for t, s in zip(goal, sizes)]
     part = {i: t - k * s for i, (t, k, s) in enumerate(zip(goal, whole, sizes)) if t - k * s > 0}
-    named = spark.createDataFrame([(i, r["source"]) for i, r in enumerate(found)], "g int, source string")
+    named = small(spark, [(i, r["source"]) for i, r in enumerate(found)], "g int, source string")
 
     def numbered(x: DataFrame) -> DataFrame:
         return x.join(named.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
 
     drawn = numbered(thin.select("source", "size", "u", "w")).filter("size > 0 and w > 0")
     scale = inclusion_scales(drawn, part) if part else {}
-    scales = spark.createDataFrame(sorted(scale.items()), "g int, scale double")
+    scales = small(spark, sorted(scale.items()), "g int, scale double")
     digest = drawn.join(scales, "g").select("g", pareto_key(F.col("u"), F.col("w") * F.col("scale")).alias("key"), F.col("size").alias("w"))
     cut = dict.fromkeys(range(len(found)), -1)
     if part:
@@ -128,8 +128,8 @@ def mix(
             else:
                 upper = e.below + e.weight - part[i] < part[i] - e.below
                 cut[i] = e.key if upper else e.key - 1  # taken: key <= cut
-    plan = spark.createDataFrame(
-        [(i, sizes[i], goal[i], whole[i], scale.get(i, 0.0), cut[i]) for i in range(len(found))],
+    plan = small(
+        spark, [(i, sizes[i], goal[i], whole[i], scale.get(i, 0.0), cut[i]) for i in range(len(found))],
         "g int, source_size long, target double, whole int, scale double, cut long",
     )
     taken = (F.col("w") > 0) & (F.col("scale") > 0) & (pareto_key(F.col("u"), F.col("w") * F.col("scale")) <= F.col("cut"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, packed, tidied, unpacked
+from .common import Scratch, packed, small, tidied, unpacked
 from .ngrams import HashArray, count_ngrams, gathered, runs, shorter, slabs
 
 ORDER = 5
@@ -240,9 +240,9 @@ def quality_rules(df: DataFrame, columns: list[str] | None = None, width: float
     schema = T.StructType([f for f in source.schema if f.name != "raw"] + list(T._parse_datatype_string(FEATURES)))
     scored = scratch.keep(source.mapInArrow(tidied(_features(model, schema)), schema), "scored")
     found = bands(scored, width, short)
-    limits = df.sparkSession.createDataFrame([(k, m, s) for k, (m, s) in found.items()], "g string, mid double, dev double")
+    limits = small(df.sparkSession, [(k, m, s) for k, (m, s) in found.items()], "g string, mid double, dev double")
     slack = F.col("dev") * width + F.lit(short) / F.sqrt(F.col("n_bytes") + 1)
-    out = scored.join(limits, "g", "left")  # one row a language; a local table, so that Spark knows its size
+    out = scored.join(limits, "g", "left")  # one row a language
     kept = ~F.col("base_failed") & F.coalesce(F.abs(F.col("log10_perplexity") - F.col("mid")) <= slack, F.lit(False))
     lower, upper = (F.pow(F.lit(10.0), x) for x in (F.col("mid") - slack, F.col("mid") + slack))
     return out.select(*unpacked(columns), *own, lower.alias("lower"), upper.alias("upper"), kept.alias("kept"))
