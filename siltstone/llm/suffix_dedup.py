@@ -2,26 +2,28 @@
 
 Documents are ordered by doc_id (repeated ids: by an arbitrary but fixed row number);
 a string starts earlier in a smaller document or at a smaller offset of the same one.
-The result is exact, on the input as it is.
+Everything is judged on the input as it is.
 
 1. Anchors. In every window of 100 bytes the 32-byte strings of least hash are its
    anchors, so that equal windows hold the same anchor at the same place. An anchor goes with
    the hash of its context: the bytes of all windows that can hold it.
-2. Anchors meet by hash. Of equal contexts all but the first are covered whole. Where an
+2. Anchors meet by hash. Of equal contexts all but the first are covered whole; contexts count as equal
+   if the 64-bit hashes of the anchor and of the context both agree. Where an
    anchor has several contexts, one of each is needed in full. Equal contexts are dropped before
    the shuffle already, within a task's slice. Anchors that a sample finds in many documents (licence lines
    and the like) rank last, so that windows prefer others; that changes the work's
    spread, never the result.
 3. The needed contexts, cut out of the texts, meet by anchor and are laid out in document
-   order. Prefix doubling (8, 16, 32, 64, then 64 + 36 bytes) gives suffix ranks to a depth of
-   100. In suffix order, ties by position, the previous smaller position of a suffix is
-   the earlier match; the longest previous factor, capped at 100, reaches the cap
-   exactly if that neighbour has the same rank. (A next smaller position can't have the
-   same rank.)
-4. The covered ranges of a document are merged and taken out.
+   order. An anchor with very many contexts is divided first: a window around it holds the 34 bytes
+   before it or the 34 after it, so contexts meet once by either.
+4. Prefix doubling (8, 16, 32, 64, then 64 + 36 bytes) gives the suffix order to a depth of 100, ties by
+   position. The longest previous factor of a suffix is the longer of its matches with the previous
+   and the next smaller position in suffix order. Its 100 bytes are covered where that reaches 100.
+5. The covered ranges of a document are merged and taken out.
 
 Defined cases: null text is an empty text; null doc_id comes last; rows with the same
-doc_id are documents of their own; texts under 100 bytes lose nothing; no rows, no rows; other
+doc_id are documents of their own; texts under 100 bytes lose nothing; very long texts
+are hashed and solved in parts, and only cut whole; no rows, no rows; other
 columns pass through, and columns that clash with added ones are replaced.
 """
 
@@ -36,8 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, tidied
-from .minhash import by_runs, powers, slices
+from .common import Scratch, packed, tidied, unpacked
+from .minhash import powers, slices
 from .ngrams import mix64, runs
 
 LENGTH, KMER = 100, 32
@@ -145,30 +147,66 @@ def _anchor(hot: np.ndarray):
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of anchors in the order (ah, kind, ch, doc, rid, x): kind 1 covered ranges, kind 2 needed contexts."""
-    for ah, kind, ch, doc, rid, x, s, e in by_runs(batches, ["ah", "kind", "ch", "doc", "rid", "x", "s", "e"]):
-        ready = kind == 1
-        if ready.any():
-            yield _marks(1, rid=rid[ready], s=s[ready], e=e[ready])
-            ah, ch, doc, rid, x = (v[~ready] for v in (ah, ch, doc, rid, x))
-        if not len(ah):
-            continue
-        new = np.r_[True, ah[1:] != ah[:-1]]
-        first = new | np.r_[True, ch[1:] != ch[:-1]]
-        pos, before, after = unpack(x)
-        if not first.all():
-            r, s1, e1 = joined_ranges(rid[~first], (pos - before)[~first], (pos + after)[~first])
-            yield _marks(1, rid=r, s=s1, e=e1)
-        group = np.cumsum(new) - 1
-        several = np.bincount(group, weights=first)[group] > 1
-        need = first & several
-        if need.any():
-            yield _marks(2, ah=ah[need], doc=doc[need], rid=rid[need], x=x[need])
+    """Of anchors in the order (ah, kind, ch, doc, rid, x): kind 1 covered ranges, kind 2 needed contexts.
+
+    Rows stream: of an anchor only the first context is held, until a second one shows that it is needed.
+    """
+    names = [m.split()[0] for m in MARKS.split(", ")]
+    last_a = last_c = None
+    pending = None  # the only context of the last anchor so far
+    for big in batches:
+        for at in range(0, big.num_rows, 1 << 17):
+            kind, ah, ch, doc, rid, x, s, e = (big.column(c).slice(at, 1 << 17).to_numpy(zero_copy_only=False) for c in names)
+            ready = kind == 1
+            if ready.any():
+                yield _marks(1, rid=rid[ready], s=s[ready], e=e[ready])
+                ah, ch, doc, rid, x = (v[~ready] for v in (ah, ch, doc, rid, x))
+            if not len(ah):
+                continue
+            going_on = last_a is not None and ah[0] == last_a
+            new = np.r_[not going_on, ah[1:] != ah[:-1]]
+            first = new | np.r_[not going_on or ch[0] != last_c, ch[1:] != ch[:-1]]
+            last_a, last_c = ah[-1], ch[-1]
+            if not first.all():
+                pos, before, after = unpack(x[~first])
+                r, s1, e1 = joined_ranges(rid[~first], pos - before, pos + after)
+                yield _marks(1, rid=r, s=s1, e=e1)
+            one = np.flatnonzero(first)
+            if not len(one):
+                continue
+            start = runs(ah[one])
+            count = np.diff(np.r_[start, len(one)])
+            need = np.repeat(count > 1, count)
+            if going_on := going_on and ah[one[0]] == ah[0]:
+                need[: count[0]] = True
+                if pending is not None:
+                    yield pending
+            own = one[need]
+            if len(own):
+                yield _marks(2, ah=ah[own], doc=doc[own], rid=rid[own], x=x[own])
+            if len(start) > 1 or not going_on:
+                i = one[-1:]
+                pending = _marks(2, ah=ah[i], doc=doc[i], rid=rid[i], x=x[i]) if count[-1] == 1 else None
+            else:
+                pending = None
 
 
 CONTEXTS = "ah long, doc long, rid long, s long, bytes binary"
 
 
+HALF = (LENGTH - KMER) // 2
+MANY = 8192  # contexts of an anchor, beyond which it is divided
+
+
+def sides(ah: int, body: bytes, before: int) -> list[int]:
+    """Keys of a context by its anchor with the HALF bytes on either side. A window around the anchor holds one of them whole."""
+    out = []
+    for side, s in ((1, before - HALF), (2, before)):
+        if 0 <= s and s + HALF + KMER <= len(body):
+            out.append(int.from_bytes(hashlib.blake2b(body[s : s + HALF + KMER] + ah.to_bytes(8, "little", signed=True) + bytes([side]), digest_size=8).digest(), "little", signed=True))
+    return out
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for big in batches:
         for at in range(0, big.num_rows, 64):
@@ -177,8 +215,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for doc, rid, raw, needs in zip(*(b.column(c).to_pylist() for c in ("doc", "rid", "raw", "needs"))):
                 for need in needs:
                     pos, before, after = unpack(need["x"])
-                    for col, v in zip(out, (need["ah"], doc, rid, pos - before, raw[pos - before : pos + after])):
-                        col.append(v)
+                    body = raw[pos - before : pos + after]
+                    for key in sides(need["ah"], body, before) if need["many"] else (need["ah"],):
+                        for col, v in zip(out, (key, doc, rid, pos - before, body)):
+                            col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=[c.split()[0] for c in CONTEXTS.split(", ")])
 
 
@@ -190,6 +230,33 @@ def ranks(key: np.ndarray) -> np.ndarray:
     return out
 
 
+def smaller(pos: np.ndarray) -> np.ndarray:
+    """Index of the nearest smaller value before each, -1 if there is none: all at once, by jumping over larger ones."""
+    at = np.arange(-1, len(pos) - 1)
+    todo = np.flatnonzero(at >= 0)
+    while len(todo):
+        todo = todo[pos[at[todo]] > pos[todo]]
+        at[todo] = at[at[todo]]
+        todo = todo[at[todo] >= 0]
+    return at
+
+
+def longest_previous_factors(order: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Capped at LENGTH: of each suffix of `order`, whose equal ranks mean LENGTH equal bytes; shorter matches are 0.
+
+    A suffix's longest match with an earlier one is with the previous or the next smaller position
+    in suffix order.
+    """
+    n = len(order)
+    previous = smaller(order)
+    following = n - 1 - smaller(order[::-1])[::-1]
+    out = np.zeros(n, dtype=np.int64)
+    for at, there in ((previous, previous >= 0), (following, following < n)):
+        i = np.flatnonzero(there)
+        out[i] = np.maximum(out[i], np.where(rank[i] == rank[at[i]], LENGTH, 0))
+    return out
+
+
 def earlier(buf: np.ndarray, room: np.ndarray) -> np.ndarray:
     """Positions whose longest previous factor is at least LENGTH.
 
@@ -211,11 +278,13 @@ def earlier(buf: np.ndarray, room: np.ndarray) -> np.ndarray:
     if not len(at):
         return at
     key = (rank[at] << np.uint64(32)) | rank[at + LENGTH - 64]
-    # suffix order; the smallest position of a run of equal ranks has no earlier match
-    order = np.argsort(key)
-    start = runs(key[order])
-    least = np.minimum.reduceat(order, start)
-    return at[np.sort(order[order != np.repeat(least, np.diff(np.r_[start, len(order)]))])]
+    order = np.argsort(key, kind="stable")  # suffix order, ties by position
+    key = key[order]
+    # a suffix that shares LENGTH bytes with neither neighbour in suffix order shares them with none
+    same = key[1:] == key[:-1]
+    near = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
+    order = order[near]
+    return at[np.sort(order[longest_previous_factors(order, key[near]) >= LENGTH])]
 
 
 def _compare(slab: int):
@@ -273,13 +342,16 @@ def hot_anchors(texts: DataFrame, rows: int, share: float, most: int) -> np.ndar
     return np.sort(np.array([r["ah"] for r in found], dtype=np.int64).view(np.uint64))
 
 
-def covered_ranges(texts: DataFrame, scratch: Scratch, slab: int = 1 << 20, sample: int = 4096) -> DataFrame:
+def covered_ranges(texts: DataFrame, scratch: Scratch, slab: int = 1 << 20, sample: int = 4096, most: int | None = None) -> DataFrame:
     """(rid, s, e): ranges of bytes to remove, possibly overlapping. texts: doc, rid, raw."""
     hot = hot_anchors(texts, sample, 0.01, 4096)
     found = texts.select("doc", "rid", "raw").mapInArrow(tidied(_anchor(hot)), MARKS)
     order = ["ah", "kind", "ch", "doc", "rid", "x"]
     met = scratch.keep(found.repartition("ah").sortWithinPartitions(*order).mapInArrow(tidied(_meet), MARKS), "met")
-    needs = met.filter("kind = 2").groupBy("rid").agg(F.collect_list(F.struct("ah", "x")).alias("needs"))
+    found = met.filter("kind = 2").select("ah", "rid", "x")
+    many = found.groupBy("ah").count().filter(F.col("count") > (MANY if most is None else most)).select("ah", F.lit(True).alias("many"))
+    found = found.join(many, "ah", "left").select("rid", F.struct("ah", "x", F.coalesce("many", F.lit(False)).alias("many")).alias("need"))
+    needs = found.groupBy("rid").agg(F.collect_list("need").alias("needs"))
     contexts = texts.join(needs, "rid").select("doc", "rid", "raw", "needs").mapInArrow(tidied(_cut), CONTEXTS)
     more = scratch.keep(contexts.repartition("ah").sortWithinPartitions("ah").mapInArrow(tidied(_compare(slab)), MARKS), "compared")
     return met.filter("kind = 1").select("rid", "s", "e").unionByName(more.select("rid", "s", "e"))
@@ -291,9 +363,9 @@ ADDED = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept bi
 def _remove(schema: T.StructType, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for b, raws in slices(big, "_raw", 1 << 22):
+            for b, raws in slices(big, "raw", 1 << 22):
                 out: dict[str, list] = {c.split()[0]: [] for c in ADDED.split(", ")}
-                for raw, ranges in zip(raws, b.column("_ranges").to_pylist()):
+                for raw, ranges in zip(raws, b.column("ranges").to_pylist()):
                     spans, at, kept = 0, 0, []
                     if ranges:
                         x = np.array([(r["s"], r["e"]) for r in ranges], dtype=np.int64)
@@ -319,18 +391,20 @@ def remove_repeats(df: DataFrame, columns: list[str] | None = None, keep: bool =
     A cut may fall inside a character; kept_text leaves such bytes out.
     """
     scratch = scratch or Scratch(df.sparkSession)
-    added = [c.split()[0] for c in ADDED.split(", ")] + ["rid"]
+    added = [c.split()[0] for c in ADDED.split(", ")]
     columns = [c for c in (df.columns if columns is None else columns) if c not in added]
-    need = list(dict.fromkeys([*columns, "doc_id", "text"]))
-    docs = scratch.keep(df.select(*need).withColumn("rid", F.monotonically_increasing_id()), "documents")
+    other = [c for c in columns if c not in ("doc_id", "text")]
+    docs = scratch.keep(df.select("doc_id", "text", packed(other).alias("row")).withColumn("rid", F.monotonically_increasing_id()), "documents")
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "rid", raw.alias("raw"))
-    ranges = covered_ranges(texts, scratch).groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("_ranges"))
+    ranges = covered_ranges(texts, scratch).groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
     ranges = scratch.keep(ranges, "ranges")
     scratch.drop("met", "compared")
-    source = docs.select("rid", *[c for c in columns if c != "text"], raw.alias("_raw")).join(ranges, "rid", "left").drop("rid")
-    schema = T.StructType([f for f in source.schema if f.name not in ("_raw", "_ranges")] + list(T._parse_datatype_string(ADDED)))
-    return source.mapInArrow(tidied(_remove(schema, keep)), schema)
+    source = docs.select("rid", "doc_id", "row", *(["text"] if "text" in columns else []), raw.alias("raw")).join(ranges, "rid", "left").drop("rid")
+    schema = T.StructType([f for f in source.schema if f.name not in ("raw", "ranges")] + list(T._parse_datatype_string(ADDED)))
+    out = source.mapInArrow(tidied(_remove(schema, keep)), schema)
+    carried = {c: x for c, x in zip(other, unpacked(other))}
+    return out.select(*(carried.get(c, F.col(c)) for c in columns), *added)
 
 
 def oracle() -> str:

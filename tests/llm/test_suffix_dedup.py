@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from siltstone.llm.queries import oracle_sql, queries
-from siltstone.llm.suffix_dedup import LENGTH, earlier, remove_repeats, sliding
+from siltstone.llm.suffix_dedup import LENGTH, MARKS, _marks, _meet, earlier, longest_previous_factors, remove_repeats, sliding, smaller
 from tests.oracle import expect_same
 
 
@@ -41,8 +41,9 @@ def test_query_matches_sql(spark):
     expect_same(queries()["op5_suffix_array_dedup"](spark, sf), oracle_sql()["op5_suffix_array_dedup"], sf)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_periodic_overlapping_and_boundary_repeats(spark, seed):
+@pytest.mark.parametrize("seed, many", [(1, 8192), (2, 8192), (3, 1), (4, 2)])
+def test_periodic_overlapping_and_boundary_repeats(spark, monkeypatch, seed, many):
+    monkeypatch.setattr("siltstone.llm.suffix_dedup.MANY", many)
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("ab") for _ in range(rng.choice([3, 9, 40])))
     passages = ["".join(word() for _ in range(30))[: rng.choice([99, 100, 101, 150, 300])] for _ in range(6)] + ["x" * 150, "ab" * 100, "abc" * 70, "é" * 60]
@@ -62,6 +63,49 @@ def test_earlier_respects_segments():
     assert list(earlier(buf, room)) == list(range(130, 161))
 
 
+def test_longest_previous_factors_against_brute_force():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 7, 60):
+        pos = rng.permutation(n)
+        want = [next((j for j in range(i - 1, -1, -1) if pos[j] < pos[i]), -1) for i in range(n)]
+        assert smaller(pos).tolist() == want
+    for n, period in ((400, 1), (700, 130), (900, 333)):
+        text = np.resize(rng.integers(97, 99, period, dtype=np.uint8), n).tobytes()
+        suffixes = [text[i : i + LENGTH] for i in range(n - LENGTH + 1)]
+        order = np.array(sorted(range(len(suffixes)), key=lambda i: (suffixes[i], i)))
+        rank = np.unique([suffixes[i] for i in order], return_inverse=True)[1]
+        got = longest_previous_factors(order, rank)
+        assert [g >= LENGTH for g in got] == [text.find(suffixes[i]) < i for i in order]
+        assert earlier(np.frombuffer(text, dtype=np.uint8), np.arange(n, 0, -1)).tolist() == sorted(i for i in order if text.find(suffixes[i]) < i)
+
+
+def test_anchors_meet_alike_in_batches_of_any_size():
+    rng = np.random.default_rng(6)
+    ah, ch, doc = np.sort(rng.integers(0, 6, 80)), rng.integers(0, 3, 80), np.arange(80)
+    order = np.lexsort((doc, ch, ah))
+    rows = _marks(0, ah[order], ch[order], doc[order], doc[order], (doc[order] * 200 << 14) | 32)
+
+    def met(size):
+        out = [r for b in _meet(rows.slice(i, size) for i in range(0, 80, size)) for r in b.to_pylist()]
+        return sorted((r["kind"], r["ah"] if r["kind"] == 2 else 0, r["rid"], r["x"], r["s"], r["e"]) for r in out)
+
+    assert len(MARKS.split(", ")) == 8 and met(80) == met(1) == met(7)
+    firsts = {(a, c): d for a, c, d in reversed(list(zip(ah[order].tolist(), ch[order].tolist(), doc[order].tolist())))}
+    several = {a for a in range(6) if sum(x == a for x, _ in firsts) > 1}
+    assert {r[2] for r in met(80) if r[0] == 2} == {d for (a, _), d in firsts.items() if a in several}
+    assert {r[2] for r in met(80) if r[0] == 1} == set(range(80)) - set(firsts.values())
+
+
+def test_columns_of_any_name_and_long_texts(spark):
+    rng = random.Random(9)
+    p = "".join(rng.choice("abcdefgh") for _ in range(120))
+    long = "y" * 300_000 + p + "".join(rng.choice("qrst") for _ in range(3_000_000))
+    df = spark.createDataFrame([(1, p, 1, 2, 3, 4), (2, long, 1, 2, 3, 4)], "doc_id long, text string, _raw int, _ranges int, rid int, row int")
+    got = {r["doc_id"]: r for r in remove_repeats(df).collect()}
+    assert [got[2][c] for c in ("_raw", "_ranges", "rid", "row")] == [1, 2, 3, 4] and got[2]["text"] == long
+    assert got[1]["n_removed"] == 0 and got[2]["n_removed"] == 299_999 + 120 and got[2]["n_spans"] == 1
+
+
 def test_sliding():
     x = np.random.default_rng(1).integers(0, 99, 57)
     for w in (1, 5, 56, 57):
