@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import encode
 from ..schema import PUT
-from .visibility import latest_points, mask_ranges, points, ranges, visible
+from .visibility import ROWS_A_BUCKET, bucket_edges, bucket_of, latest_points, mask_ranges, points, ranges, visible
 
 
 def scan(entries: DataFrame, start: bytes | None = None, end: bytes | None = None, limit: int | None = None, as_of_seq: int | None = None) -> DataFrame:
@@ -50,8 +52,12 @@ def prefix_scan(entries: DataFrame, *parts, strict: bool = True, limit: int | No
     strict: children only, keys that go on with a separator. Otherwise also keys that merely begin with
     the same bytes ("p2" under "p").
     """
+    return scan(entries, *prefix_bounds(*parts, strict=strict), limit)
+
+
+def prefix_bounds(*parts, strict: bool = True) -> tuple[bytes, bytes]:
     prefix = encode(*parts)
-    return scan(entries, prefix + b"\x00", prefix + (b"\x01" if strict else b"\xff"), limit)
+    return prefix + b"\x00", prefix + (b"\x01" if strict else b"\xff")
 
 
 def sample_index(keyed: DataFrame, interval: int) -> DataFrame:
@@ -62,10 +68,17 @@ def sample_index(keyed: DataFrame, interval: int) -> DataFrame:
     return keyed.filter(F.col("offset") % interval == 0).select("key", "offset")
 
 
-def unsorted(keyed: DataFrame) -> DataFrame:
-    """Rows (ord, key) whose key is below the one before; an index of sorted keys has none."""
-    before = F.lag("key").over(Window.partitionBy(F.lit(0)).orderBy("ord"))
-    return keyed.withColumn("previous", before).filter(F.col("previous") > F.col("key"))
+def unsorted(keyed: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """Rows (ord, key) whose key is below the one before; an index of sorted keys has none.
+
+    Rows are compared within blocks of `ord`, a block's first with the last key of the one before.
+    """
+    rows = keyed.withColumn("_b", F.floor(F.col("ord") / block).cast("long"))
+    last = rows.groupBy("_b").agg(F.max_by("key", "ord").alias("_last"))
+    carried = last.select("_b", F.lag("_last").over(Window.orderBy("_b")).alias("_last"))  # one row a block
+    before = F.lag("key").over(Window.partitionBy("_b").orderBy("ord"))
+    out = rows.withColumn("previous", before).join(carried, "_b").withColumn("previous", F.coalesce("previous", "_last"))
+    return out.filter(F.col("previous") > F.col("key")).drop("_b", "_last")
 
 
 def floor_lookup(index: DataFrame, probes: DataFrame, group: str | None = None) -> DataFrame:
@@ -80,9 +93,7 @@ def floor_lookup(index: DataFrame, probes: DataFrame, group: str | None = None)
     if group:
         w = Window.partitionBy(group)
     else:
-        from .visibility import bucket_edges, bucket_of
-
-        edges = bucket_edges(index, 64)
+        edges = bucket_edges(index, max(1, min(4096, math.ceil(probes.count() / ROWS_A_BUCKET))))
         per = index.groupBy(bucket_of(F.col("key"), edges).alias("b")).agg(F.max_by("offset", "key").alias("o")).collect()  # one row a bucket
         known, top, carried = {r["b"]: r["o"] for r in per}, None, []
         for i, e in enumerate(edges):

@@ -37,9 +37,9 @@ def log(spark: SparkSession, sf_dir: str, modulus: int = 97, width: int = 3) ->
 
 
 def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A batch of mutations: every fifth event puts, inserts or deletes; a few delete a range."""
-    e = table(spark, sf_dir, "events").filter(F.col("event_id") % 5 == 0)
-    op = F.when(F.col("event_id") % 385 == 0, 3).otherwise(F.floor(F.col("event_id") / 5) % 3)
+    """A batch of mutations: every event puts, inserts, deletes or (a few) deletes a range."""
+    e = table(spark, sf_dir, "events")
+    op = F.when(F.col("event_id") % 77 == 0, 3).otherwise(F.col("event_id") % 3)
     return e.select(
         F.col("event_id").alias("ord"), op.cast("byte").alias("op"), i64_key(F.col("user_id") + 50).alias("key"),
         F.when(op < 2, F.col("value")).alias("value"), F.when(op == 3, i64_key(F.col("user_id") + 52)).alias("range_end"),
@@ -92,8 +92,8 @@ log as (select * from rawlog where txn_id % 7 <> 0)"""
 def batch_sql() -> str:
     return f"""batch as (
   select *, case when op < 2 then value end as v, case when op = 3 then {i64('user_id + 52')} end as range_end from (
-    select event_id as ord, user_id, value, case when event_id % 385 = 0 then 3 else (event_id // 5) % 3 end as op, {i64('user_id + 50')} as k
-    from events where event_id % 5 = 0))"""
+    select event_id as ord, user_id, value, case when event_id % 77 = 0 then 3 else event_id % 3 end as op, {i64('user_id + 50')} as k
+    from events))"""
 
 
 def visible_sql(source: str = "log", name: str = "visible") -> str:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -27,16 +30,59 @@ class Files:
             stream.close()
 
     def write_new(self, path: str, text: str) -> bool:
-        """Write to a temporary name, then rename; False if the path exists already."""
+        """Write a file whose name nobody has taken; False if it is taken. Of several writers one succeeds.
+
+        HDFS refuses to rename onto a file. A local file is linked to its name. Elsewhere (object stores) the
+        file is created without overwriting, and appears when it is closed.
+        """
         fs, p = self._at(path)
+        scheme = fs.getUri().getScheme()
+        if scheme not in ("hdfs", "viewfs", "file"):
+            if fs.exists(p):
+                return False
+            try:
+                stream = fs.create(p, False)
+                stream.write(bytearray(text.encode()))
+                stream.close()
+            except Py4JJavaError:
+                return False
+            return True
         _, tmp = self._at(f"{path}.{self.jvm.java.util.UUID.randomUUID().toString()}.tmp")
         stream = fs.create(tmp, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        if fs.exists(p) or not fs.rename(tmp, p):
+        if scheme != "file":
+            done = fs.rename(tmp, p)
+        else:
+            try:
+                os.link(tmp.toUri().getPath(), p.toUri().getPath())
+                done = True
+            except FileExistsError:
+                done = False
+        if scheme == "file" or not done:
             fs.delete(tmp, False)
+        return done
+
+    def paths(self, path: str, end: str) -> list[str]:
+        fs, p = self._at(path)
+        return sorted(s.getPath().toString() for s in fs.listStatus(p) if s.getPath().getName().endswith(end)) if fs.exists(p) else []
+
+    def bloom_has(self, path: str, column: str, value: bytes) -> bool:
+        """Whether a row group's bloom filter may hold the value, or has none."""
+        hadoop = self.jvm.org.apache.parquet.hadoop
+        _, p = self._at(path)
+        reader = hadoop.ParquetFileReader.open(hadoop.util.HadoopInputFile.fromPath(p, self.conf))
+        try:
+            binary = self.jvm.org.apache.parquet.io.api.Binary.fromConstantByteArray(bytearray(value))
+            for group in reader.getRowGroups():
+                for chunk in group.getColumns():
+                    if chunk.getPath().toDotString() == column:
+                        bloom = reader.readBloomFilter(chunk)
+                        if bloom is None or bloom.findHash(bloom.hash(binary)):
+                            return True
             return False
-        return True
+        finally:
+            reader.close()
 
     def names(self, path: str) -> list[str]:
         fs, p = self._at(path)

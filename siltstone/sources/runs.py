@@ -13,6 +13,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import StoreError
 from ..schema import DELETE_RANGE, ENTRY_SCHEMA
 from .files import Files
 
@@ -22,8 +23,8 @@ class Run:
     level: int
     path: str
     seq_tag: int
-    min_key: str | None  # hex; over points and ranges
-    max_key: str | None
+    min_key: str | None  # hex; over points and starts of ranges
+    max_key: str | None  # over points and ends of ranges
     n_points: int
     n_ranges: int
     bytes: int
@@ -33,15 +34,15 @@ class Run:
 
     def meets(self, start: bytes | None, end: bytes | None) -> bool:
         """Whether the run can hold a key of [start, end)."""
-        if self.min_key is None or self.n_ranges:
-            return True  # ranges reach beyond their own keys
+        if self.min_key is None:
+            return True
         return (end is None or self.min_key < end.hex()) and (start is None or self.max_key >= start.hex())
 
 
 def describe(entries: DataFrame) -> tuple[int, int, int, str | None, str | None]:
     """(points, ranges, last seq, least key, greatest key as hex)."""
     is_range = F.col("kind") == DELETE_RANGE
-    r = entries.agg(F.count(F.when(~is_range, 1)), F.count(F.when(is_range, 1)), F.max("seq"), F.lower(F.hex(F.min("key"))), F.lower(F.hex(F.max("key")))).first()
+    r = entries.agg(F.count(F.when(~is_range, 1)), F.count(F.when(is_range, 1)), F.max("seq"), F.lower(F.hex(F.min("key"))), F.lower(F.hex(F.max(F.greatest("key", F.coalesce("range_end", "key")))))).first()
     return r[0], r[1], r[2] or 0, r[3], r[4]
 
 
@@ -53,27 +54,38 @@ class ParquetRuns:
     def write(self, entries: DataFrame, level: int, sort: bool = True) -> Run | None:
         """A new run of all the entries; None if there are none."""
         path = f"{self.root}/L{level}/{uuid.uuid4().hex}"
-        rows = entries.select(*ENTRY_SCHEMA.names)
-        pts = rows.filter(F.col("kind") != DELETE_RANGE)
+        rows = entries.select(*ENTRY_SCHEMA.names, F.when(F.col("kind") == DELETE_RANGE, "ranges").otherwise("points").alias("part"))
         if sort:
-            pts = pts.repartitionByRange("key", "seq").sortWithinPartitions("key", F.desc("seq"))
-        writer = pts.write.option("compression", self.compression).option("parquet.bloom.filter.enabled#key", "true").option("maxRecordsPerFile", self.rows_a_file)
-        writer.parquet(f"{path}/points")
-        rows.filter(F.col("kind") == DELETE_RANGE).coalesce(1).write.option("compression", self.compression).parquet(f"{path}/ranges")
+            rows = rows.repartitionByRange("part", "key", "seq").sortWithinPartitions("part", "key", F.desc("seq"))
+        writer = rows.write.option("compression", self.compression).option("parquet.bloom.filter.enabled#key", "true").option("maxRecordsPerFile", self.rows_a_file)
+        writer.partitionBy("part").parquet(path)  # entries are computed once for both
         n, r, tag, low, high = describe(self._read(path))
         if not n + r:
             self.files.delete(path)
             return None
         return Run(level, path, tag, low, high, n, r, self.files.size(path))
 
-    def _read(self, path: str) -> DataFrame:
-        return self.spark.read.schema(ENTRY_SCHEMA).parquet(f"{path}/points", f"{path}/ranges")
+    def _read(self, *paths: str) -> DataFrame:
+        parts = [f"{p}/part={part}" for p in paths for part in ("points", "ranges")]
+        found = [p for p in parts if self.files.exists(p)]
+        return self.spark.read.schema(ENTRY_SCHEMA).parquet(*found) if found else self.spark.createDataFrame([], ENTRY_SCHEMA)
 
     def read(self, runs: list[Run]) -> DataFrame:
         """One scan over all runs' files."""
-        if not runs:
-            return self.spark.createDataFrame([], ENTRY_SCHEMA)
-        return self.spark.read.schema(ENTRY_SCHEMA).parquet(*(f"{r.path}/{part}" for r in runs for part in ("points", "ranges")))
+        for r in runs:
+            if not self.readable(r):
+                raise StoreError(f"run {r.path} can't be read")
+        return self._read(*(r.path for r in runs))
+
+    def readable(self, run: Run) -> bool:
+        """Whether its files are there, with the bytes that the manifest names."""
+        return self.files.exists(run.path) and self.files.size(run.path) == run.bytes
+
+    def might_contain(self, run: Run, key: bytes) -> bool:
+        """False only if no point entry of the run has the key: by its bounds, then by the files' bloom filters."""
+        if not run.n_points or not run.meets(key, key + b"\x00"):
+            return False
+        return any(self.files.bloom_has(f, "key", key) for f in self.files.paths(f"{run.path}/part=points", ".parquet"))
 
     def delete(self, run: Run) -> None:
         self.files.delete(run.path)
@@ -82,12 +94,15 @@ class ParquetRuns:
 class MemoryRuns:
     """Runs that live in the session, tombstones and sequence numbers included."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.held = spark, {}
+    def __init__(self, spark: SparkSession, most: int = 1_000_000):
+        self.spark, self.held, self.most = spark, {}, most
 
     def write(self, entries: DataFrame, level: int, sort: bool = True) -> Run | None:
         rows = entries.select(*ENTRY_SCHEMA.names)
-        held = self.spark.createDataFrame((rows.orderBy("key", F.desc("seq")) if sort else rows).collect(), ENTRY_SCHEMA)
+        found = (rows.orderBy("key", F.desc("seq")) if sort else rows).limit(self.most + 1).collect()
+        if len(found) > self.most:
+            raise StoreError(f"a store in memory takes runs of at most {self.most} entries; give it a path")
+        held = self.spark.createDataFrame(found, ENTRY_SCHEMA)
         n, r, tag, low, high = describe(held)
         if not n + r:
             return None
@@ -101,6 +116,12 @@ class MemoryRuns:
             out = out.unionByName(self.held[r.path])
         return out
 
+    def readable(self, run: Run) -> bool:
+        return run.path in self.held
+
+    def might_contain(self, run: Run, key: bytes) -> bool:
+        return not self.held[run.path].filter((F.col("kind") != DELETE_RANGE) & (F.col("key") == F.lit(key))).isEmpty()
+
     def paths(self) -> list[str]:
         return sorted(self.held)
 

@@ -115,6 +115,8 @@ def test_plans_push_filters_and_limit_groups(spark, tmp_path):
     log(spark, ("P", "a", 1), ("P", "b", 2)).write.parquet(str(tmp_path / "x"))
     df = spark.read.parquet(str(tmp_path / "x"))
     newest = visibility.latest_points(visibility.points(df).filter(visibility.in_bounds(F.col("key"), b"a", b"b")))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")  # pushed filters in full
     plan = newest._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "PushedFilters: [" in plan and plan.count(">= 0x61") == 2 and plan.count("< 0x62") == 2  # in the filter and the scan
     assert plan.count("WindowGroupLimit") == 2 and plan.count("Exchange") == 1
