@@ -16,7 +16,7 @@ offsets of the tasks are running sums over one row per (length, task).
 
 Defined cases: null text is an empty text, whose ids are the end id alone; rows
 are packed as they come, repeated ones too; null doc_id is kept; no rows, no
-pieces; other columns are not needed.
+pieces; very long texts are tokenized whole and cut into windows; other columns are not needed.
 """
 
 from __future__ import annotations
@@ -246,22 +246,36 @@ def _last(slots: list[tuple], rank: int) -> int:
     return lo - 1
 
 
-def pack(df: DataFrame, tokenizer: str, ranks: str | None = None, window: int = 2048, end_id: int = 1, scratch: Scratch | None = None) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, ranks: str | None = None, window: int = 2048, end_id: int = 1, ids: bool = True, scratch: Scratch | None = None) -> DataFrame:
     """Pieces of all documents with their ids (little-endian unsigned 32-bit) and places.
 
-    Columns: doc_id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset.
+    Columns: doc_id, start, length, ids (only with `ids`), ids_crc32, doc_tokens, sequence_id, offset.
+    Without `ids` only those of pieces that are cut once more are looked up.
     """
     scratch = scratch or Scratch(df.sparkSession)
     raw = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     pieces = scratch.keep(raw.mapInArrow(tidied(_tokenize(tokenizer, ranks, window, end_id, True)), PIECES), "pieces")
-    by_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
+    by_task = scratch.keep(pieces.groupBy("length", "task").agg(F.count("*").alias("n")), "by_task")
     counts = np.zeros(window + 1, dtype=np.int64)
     for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect():
         counts[r["length"]] = r["n"]
     where, runs, first_tail, tail_total = _layout(plan_bins(counts, window), window)
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
-    ranked = pieces.join(offsets, ["length", "task"]).withColumn("rank", F.col("skip") + F.col("lrank"))
-    placed = ranked.mapInArrow(tidied(_place(where, runs, first_tail, tail_total, window)), PLACED)
+    place = tidied(_place(where, runs, first_tail, tail_total, window))
+
+    def ranked(x: DataFrame) -> DataFrame:
+        return x.join(offsets, ["length", "task"]).withColumn("rank", F.col("skip") + F.col("lrank"))
+
+    if ids:
+        placed = ranked(pieces).mapInArrow(place, PLACED)
+    else:
+        # of each length with pieces that are laid end to end, the first such rank
+        cut = F.create_map(*[F.lit(x) for k, rows in runs.items() for x in (k, rows[0][0])]) if runs else F.create_map().cast("map<int,long>")
+        loose = F.coalesce(F.col("rank") >= F.try_element_at(cut, F.col("length")), F.lit(False))
+        whole = ranked(pieces.withColumn("ids", F.lit(None).cast("binary"))).filter(~loose)
+        rest = ranked(pieces.filter(F.col("length").isin(list(runs)))).filter(loose)
+        placed = whole.mapInArrow(place, PLACED).unionByName(rest.mapInArrow(place, PLACED))
     # a piece that was cut once more needs its own checksum
-    return placed.withColumn("ids_crc32", F.coalesce("ids_crc32", F.crc32("ids")))
+    out = placed.withColumn("ids_crc32", F.coalesce("ids_crc32", F.crc32("ids")))
+    return out if ids else out.drop("ids")

@@ -70,8 +70,7 @@ def op9_minimum_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame
 
     from .packing import pack
 
-    out = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return out.drop("ids")
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), ids=False)
 
 
 def op10_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,6 +71,7 @@ def test_edge_rows(spark):
     df = spark.createDataFrame([(k, v, "x") for k, v in texts.items()], "doc_id long, text string, length string")
     assert verify(pack(df, FILE, RANKS).toPandas(), texts) == 0
     assert verify(pack(df, FILE).toPandas(), texts) == 0
+    assert verify(pack(df, FILE, RANKS, ids=False).toPandas(), texts) == 0
     twice = pack(df.union(df), FILE, RANKS).toPandas()
     assert twice.groupby(["sequence_id", "offset"]).size().max() == 1
     assert pack(df.limit(0), FILE, RANKS).toPandas().empty
