@@ -173,7 +173,7 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
 
 
-def search(df: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", books: int = 8, words: int = 256, sample: int = 16384, beam: int = 8, depth: int = 512, block: int = 16384, metric: str = "ip", seed: int = 0, scratch: Scratch | None = None) -> DataFrame:
+def search(df: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", books: int = 8, words: int = 256, sample: int = 16384, beam: int = 8, depth: int = 1024, block: int = 16384, metric: str = "ip", seed: int = 0, scratch: Scratch | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest to every row that meets `queries`.
 
     `queries` is a condition on vec_id. `sample` bounds the rows the codebooks are

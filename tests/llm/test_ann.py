@@ -42,6 +42,17 @@ def test_small_blocks_and_depth_still_recall(spark):
     assert hit / (10 * len(want)) > 0.9
 
 
+def test_recall_at_full_blocks(spark):
+    rng = np.random.default_rng(5)
+    n = 33_000  # two blocks of the default size and a rest
+    x = rng.normal(size=(n, 32)) + rng.normal(size=(40, 32))[rng.integers(0, 40, n)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = search(df, F.col("vec_id") % 300 == 0, k=20).toPandas()
+    want = brute(np.arange(n), x, list(range(0, n, 300)), 20)
+    hit = sum(len(set(p.vec_id) & set(want[q])) for q, p in got.groupby("query_id"))
+    assert hit / (20 * len(want)) > 0.9
+
+
 def test_beam_search_beats_greedy():
     x = np.random.default_rng(0).normal(size=(2000, 12)).astype(np.float32)
     books = train(x, 4, 16)
