@@ -11,15 +11,18 @@ beyond that, the one is a passage of the other, not a near copy of it.
    least Jaccard similarity of two of its members, and bands and rows are tuned for that.
 3. Sets that share a band meet in a bucket. 64 one-bit minhashes and the sizes rule out
    pairs that are far from the threshold. Small buckets give all other pairs. In large ones a
-   set pairs with the first leader it may be linked to, or becomes a leader.
+   set pairs with the first leader it may be linked to, or becomes a leader. Buckets that a sample of sets
+   shows to be hot are divided, and the leaders of their parts meet again.
    All minhashes then leave out pairs 4 standard errors or more below the threshold.
 4. The rest is checked exactly, on the shingle sets, which meet block by block.
 5. The components of the links so far label the members of the large buckets; pairs of
-   different components there are checked too, so no link between components is lost.
+   different components there are checked too, so no link between components is lost. Such a pair has a member
+   outside its bucket's largest component: blocks of these meet blocks of all.
 
 Defined cases: texts of one to four words have one shingle, all of them; null texts and texts
-without words are alone in their class; null doc_id is kept (a class's id is its
-least known doc_id); repeated rows are copies; no rows, no rows; other columns pass through.
+without words are alone in their class; very long texts are hashed in parts, and their sets compared
+whole; null doc_id is kept (a class's id is its least known doc_id); repeated rows are copies;
+no rows, no rows; other columns pass through, and columns that clash with the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, tidied
+from .common import Scratch, packed, small, tidied, unpacked
 from .graph import components
 from .ngrams import mix64, runs
 
@@ -296,11 +299,11 @@ def likely_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFra
 PAIRS = "a long, b long, bucket long, n int, bits long, comp long"
 
 
-def _rows(a=(), b=(), bucket=None, n=None, bits=None) -> pa.RecordBatch:
+def _rows(a=(), b=(), bucket=None, n=None, bits=None, comp=None) -> pa.RecordBatch:
     k = len(a)
     null = lambda x, t: pa.nulls(k, t) if x is None else pa.array(x, t)
     return pa.RecordBatch.from_arrays(
-        [pa.array(a, pa.int64()), null(b, pa.int64()), null(bucket, pa.int64()), null(n, pa.int32()), null(bits, pa.int64()), pa.nulls(k, pa.int64())],
+        [pa.array(a, pa.int64()), null(b, pa.int64()), null(bucket, pa.int64()), null(n, pa.int32()), null(bits, pa.int64()), null(comp, pa.int64())],
         names=["a", "b", "bucket", "n", "bits", "comp"],
     )
 
@@ -328,47 +331,47 @@ def by_runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[lis
 
 
 def _pair(threshold: float, ratio: float):
-    """Candidate pairs; members of large buckets come out as rows of their own (b null)."""
+    """Candidate pairs within meets (buckets or their parts); members of large or divided buckets come out as rows of their own (b null; comp 1: leaders)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rid, n, bits in by_runs(batches, ["bucket", "rid", "n", "bits"]):
-            start = runs(bucket)
-            size = np.diff(np.r_[start, len(bucket)])
-            small = np.repeat(size <= SMALL, size)
+        for meet, bucket, rid, n, bits, parts in by_runs(batches, ["meet", "bucket", "rid", "n", "bits", "parts"]):
+            start = runs(meet)
+            size = np.diff(np.r_[start, len(meet)])
+            few = (size <= SMALL) & (parts[start] == 1)
+            small = np.repeat(few, size)
             for d in range(1, SMALL):
-                i = np.flatnonzero((bucket[:-d] == bucket[d:]) & small[:-d]) if d < len(bucket) else np.zeros(0, dtype=int)
+                i = np.flatnonzero((meet[:-d] == meet[d:]) & small[:-d]) if d < len(meet) else np.zeros(0, dtype=int)
                 i = i[may_link(n[i], bits[i], n[i + d], bits[i + d], threshold, ratio)]
                 if len(i):
                     yield _rows(np.minimum(rid[i], rid[i + d]), np.maximum(rid[i], rid[i + d]))
-            for s, k in zip(start[size > SMALL], size[size > SMALL]):
+            for s, k in zip(start[~few], size[~few]):
                 part = slice(s, s + k)
                 r, m, x = rid[part], n[part], bits[part]
-                yield _rows(r, None, np.full(k, bucket[s]), m, x)
-                left = np.arange(k)
+                left, leads = np.arange(k), np.zeros(k, dtype=np.int64)
                 while len(left):
                     lead, others = left[0], left[1:]
+                    leads[lead] = 1
                     ok = may_link(m[lead], x[lead : lead + 1], m[others], x[others], threshold, ratio)
                     hit = others[ok]
                     if len(hit):
                         yield _rows(np.minimum(r[lead], r[hit]), np.maximum(r[lead], r[hit]))
                     left = others[~ok]
+                yield _rows(r, None, bucket[part], m, x, leads)
 
     return run
 
 
 def _cross(threshold: float, ratio: float):
-    """Possible pairs of different components within large buckets, block by block."""
+    """Possible pairs of different components where blocks of large buckets meet: side 1 are those outside the largest component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rid, n, bits, comp, sig in by_runs(batches, ["bucket", "a", "n", "bits", "comp", "sig"]):
-            start = runs(bucket)
-            for s, e in zip(start, np.r_[start[1:], len(bucket)]):
-                if (comp[s:e] == comp[s]).all():
-                    continue
+        for meet, side, bucket, rid, n, bits, comp, sig in by_runs(batches, ["meet", "side", "bucket", "a", "n", "bits", "comp", "sig"]):
+            start = runs(meet)
+            for s, e in zip(start, np.r_[start[1:], len(meet)]):
                 rows = np.frombuffer(b"".join(sig[s:e]), dtype=np.uint32).reshape(-1, FUNCTIONS)
-                for i in range(s, e):
-                    j = np.arange(i + 1, e)
-                    j = j[comp[j] != comp[i]]
+                every = s + np.flatnonzero(side[s:e] == 0)
+                for i in s + np.flatnonzero(side[s:e] == 1):
+                    j = every[comp[every] != comp[i]]
                     j = j[may_link(n[i], bits[i : i + 1], n[j], bits[j], threshold, ratio)]
                     j = j[signature_allows(n[i], rows[i - s], n[j], rows[j - s], threshold)]
                     if len(j):
@@ -377,6 +380,23 @@ def _cross(threshold: float, ratio: float):
     return run
 
 
+def cross_pairs(large: DataFrame, roots: DataFrame, sets: DataFrame, threshold: float, ratio: float, block: int = BLOCK) -> DataFrame:
+    """(a, b, bucket): possible pairs of different components of large buckets' members (a, bucket, n, bits)."""
+    labels = roots.select(F.col("node").alias("a"), F.col("root"))
+    member = large.join(labels, "a", "left").select("bucket", "a", "n", "bits", F.coalesce("root", "a").alias("comp"))
+    count = member.groupBy("bucket", "comp").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.sum("k").alias("k"), F.max("k").alias("most"), F.max_by("comp", "k").alias("major"))
+    mixed = count.filter("most < k").select("bucket", "major", F.ceil(F.col("k") / block).alias("nx"), F.ceil((F.col("k") - F.col("most")) / block).alias("ny"))
+    placed = member.join(mixed, "bucket").join(sets.select(F.col("rid").alias("a"), "sig"), "a")
+    spot = lambda c: F.pmod(F.xxhash64("a"), F.col(c))
+    to = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    keep = ["bucket", "a", "n", "bits", "comp", "sig"]
+    every = placed.select(*keep, F.lit(0).alias("side"), spot("nx").alias("x"), to("ny").alias("y"))
+    minor = placed.filter("comp <> major").select(*keep, F.lit(1).alias("side"), to("nx").alias("x"), spot("ny").alias("y"))
+    met = every.unionByName(minor).withColumn("meet", F.xxhash64("bucket", "x", "y")).drop("x", "y")
+    ordered = met.repartition("meet").sortWithinPartitions("meet", "bucket", "side", "a")
+    return ordered.mapInArrow(tidied(_cross(threshold, ratio)), PAIRS).select("a", "b", "bucket")
+
+
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for big in batches:
         for b, raws in slices(big, "raw"):
@@ -433,20 +453,40 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float, block: int = BL
 TABLES = ("signed", "sets", "found", "pairs", "links", "more", "links2", "roots", "roots2")
 
 
+PART_ROWS, SAMPLE = 1 << 16, 8192
+
+
+def hot_buckets(sets: DataFrame, threshold: float, ratio: float, rows_a_part: int = PART_ROWS, sample: int = SAMPLE) -> DataFrame:
+    """(bucket, parts) of the buckets that a sample of sets shows to be larger than a part: it sets the balance only."""
+    number = sets.count()
+    some = sets.orderBy(F.xxhash64("rid"), "rid").limit(sample).select("rid", "n", "sig")
+    count = some.mapInArrow(tidied(_band(threshold, ratio)), BUCKETS).groupBy("bucket").count()
+    scale = max(1.0, number / sample)
+    found = count.withColumn("parts", F.ceil(F.col("count") * scale / rows_a_part).cast("int")).filter((F.col("parts") > 1) & (F.col("count") > 8))
+    rows = [(r["bucket"], r["parts"]) for r in found.select("bucket", "parts").collect()]  # at most bands * sample / 8
+    return small(sets.sparkSession, rows, "bucket long, parts int")
+
+
 def link_sets(texts: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, ratio: float = MAX_RATIO) -> tuple[DataFrame, DataFrame]:
     """For texts (rid, raw): (rid, n, rep) with one rep for equal sets, and (node, root) of linked reps."""
     signed = scratch.keep(texts.mapInArrow(tidied(_sign), SIGNED), "signed")
     sets = scratch.keep(signed.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("rid").alias("rid"), F.max("sig").alias("sig")), "sets")
-    rows = sets.select("rid", "n", "sig").mapInArrow(tidied(_band(threshold, ratio)), BUCKETS)
-    found = scratch.keep(rows.repartition("bucket").sortWithinPartitions("bucket", "rid").mapInArrow(tidied(_pair(threshold, ratio)), PAIRS), "found")
-    pairs = scratch.keep(likely_pairs(found.filter(F.col("b").isNotNull()).select("a", "b").distinct(), sets, threshold), "pairs")
+    hot = hot_buckets(sets, threshold, ratio, PART_ROWS)
+    rows = sets.select("rid", "n", "sig").mapInArrow(tidied(_band(threshold, ratio)), BUCKETS).join(hot, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    part = F.when(F.col("parts") > 1, F.xxhash64("bucket", F.pmod(F.xxhash64("rid"), F.col("parts")))).otherwise(F.col("bucket"))
+
+    def paired(x: DataFrame) -> DataFrame:
+        return x.repartition("meet").sortWithinPartitions("meet", "rid").mapInArrow(tidied(_pair(threshold, ratio)), PAIRS)
+
+    found = scratch.keep(paired(rows.withColumn("meet", part)), "found")
+    again = found.filter("b is null and comp = 1").join(hot, "bucket", "left_semi").select("bucket", F.col("a").alias("rid"), "n", "bits", F.lit(2).alias("parts"), F.col("bucket").alias("meet"))
+    both = found.filter(F.col("b").isNotNull()).select("a", "b").unionByName(paired(again).filter(F.col("b").isNotNull()).select("a", "b"))
+    pairs = scratch.keep(likely_pairs(both.distinct(), sets, threshold), "pairs")
     links = scratch.keep(verify(pairs.withColumn("bucket", F.col("a")), texts, threshold), "links")
     roots = scratch.keep(components(links, scratch), "roots")
     large = found.filter(F.col("b").isNull()).select("a", "bucket", "n", "bits")
     if not large.isEmpty():
-        labels = roots.select(F.col("node").alias("a"), F.col("root"))
-        labelled = large.join(labels, "a", "left").join(sets.select(F.col("rid").alias("a"), "sig"), "a").select("bucket", "a", "n", "bits", F.coalesce("root", "a").alias("comp"), "sig")
-        more = labelled.repartition("bucket").sortWithinPartitions("bucket", "a").mapInArrow(tidied(_cross(threshold, ratio)), PAIRS)
+        more = cross_pairs(large, roots, sets, threshold, ratio)
         more = scratch.keep(more.groupBy("a", "b").agg(F.min("bucket").alias("bucket")).join(pairs, ["a", "b"], "left_anti"), "more")
         if not more.isEmpty():
             extra = scratch.keep(verify(more, texts, threshold), "links2")
@@ -461,10 +501,10 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, ratio: float =
     One row of each class has keep: that with the least doc_id, null ones last.
     """
     scratch = scratch or Scratch(df.sparkSession)
-    added = ("n_shingles", "class_id", "class_size", "keep", "rid")
+    added = ("n_shingles", "class_id", "class_size", "keep")
     columns = [c for c in (df.columns if columns is None else columns) if c not in added]
-    need = list(dict.fromkeys([*columns, "doc_id", "text"]))
-    docs = scratch.keep(df.select(*need).withColumn("rid", F.monotonically_increasing_id()), "documents")
+    other = [c for c in columns if c not in ("doc_id", "text")]
+    docs = scratch.keep(df.select("doc_id", "text", packed(other).alias("row")).withColumn("rid", F.monotonically_increasing_id()), "documents")
     texts = docs.select("rid", F.col("text").cast("binary").alias("raw"))
     reps, roots = link_sets(texts, scratch, threshold, ratio)
     named = docs.select("rid", "doc_id").join(reps, "rid").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
@@ -476,6 +516,7 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, ratio: float =
     scratch.drop("members", *(t for t in TABLES))
     if columns == ["doc_id"]:
         scratch.drop("documents")
-        return labels.select("doc_id", "n_shingles", "class_id", "class_size", "keep")
-    labels = labels.drop("doc_id")
-    return docs.select("rid", *columns).join(labels, "rid").drop("rid")
+        return labels.select("doc_id", *added)
+    carried = {c: x for c, x in zip(other, unpacked(other))}
+    out = docs.join(labels.drop("doc_id"), "rid")
+    return out.select(*(carried.get(c, F.col(c)) for c in columns), *added)
