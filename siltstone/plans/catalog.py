@@ -588,3 +588,35 @@ def kv_stream_tail(spark, sf):
     records(spark, sf).withColumn("value", F.floor(F.col("value") * 1000).cast("string").cast("binary")).repartitionByRange(6, "lsn").write.parquet(f"{path}/log")
     tail.tail(tail.read_wal(spark, f"{path}/log", files_a_batch=2), f"{path}/entries", f"{path}/checkpoint").awaitTermination()
     return text_rows(visibility.visible(tail.tailed(spark, f"{path}/entries")))
+
+
+@query(STORED)
+def kv_wal_torn_tail(spark, sf):
+    """The log in segments, with a torn one at its end."""
+    from ..sources import wal
+    from ..sources.files import Files
+
+    path, entries = scratch_dir(spark), as_binary(log(spark, sf))
+    writer = wal.SegmentWriter(spark, path)
+    for i, part in enumerate((F.col("seq") <= AS_OF, F.col("seq") > AS_OF)):
+        writer.append(entries.filter(part).select("seq", "kind", "key", "value", "range_end"), i)
+    Files(spark).write_new(f"{path}/segment=999999999999/part-0.parquet", "\xff")
+    return text_rows(visibility.visible(wal.committed(wal.read_segments(spark, path))))
+
+
+@query(STORED)
+def kv_open_skips(spark, sf):
+    """A store with a run whose files are gone, opened without it."""
+    from ..sources.files import Files
+    from ..store import Store
+
+    path = scratch_dir(spark)
+    with stored(spark, sf, path) as store:
+        store.options.auto_compact = False
+        before = {r.path for r in store.manifest.runs}
+        store.put(b"\x00lost", b"1")
+        store.flush()
+        for r in store.manifest.runs:
+            if r.path not in before:
+                Files(spark).delete(r.path)
+    return text_rows(Store.open(spark, path, read_only=True, skip_unreadable=True).scan())

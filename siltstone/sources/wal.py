@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import BEGIN, COMMIT, ENTRY, ROLLBACK
+from ..schema import BEGIN, COMMIT, ENTRY, ROLLBACK, WAL_SCHEMA
+from .files import Files
 
 
 def to_wal(entries: DataFrame, txn: str = "txn_id", rolled_back=None) -> DataFrame:
@@ -41,3 +42,36 @@ def record_counts(wal: DataFrame) -> DataFrame:
 def bounded_tail(wal: DataFrame, most: int) -> DataFrame:
     """The newest `most` records; older ones fall out of a bounded buffer."""
     return wal.orderBy(F.desc("lsn")).limit(most)
+
+
+class SegmentWriter:
+    """Appends transactions to a log of Parquet segments, one folder each, in the order of their names.
+
+    A segment appears whole or not at all as far as replay is concerned: its commit record is written in a
+    file of its own, after its entries. An error leaves a rollback record instead.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.files = spark, path.rstrip("/"), Files(spark)
+        names = [n for n in self.files.names(self.path) if n.startswith("segment=")]
+        self.next = 1 + max((int(n.split("=")[1]) for n in names), default=-1)
+
+    def append(self, entries: DataFrame, txn_id: int) -> str:
+        """Write one transaction (seq, kind, key, value, range_end); the segment's folder."""
+        segment = f"{self.path}/segment={self.next:012d}"
+        self.next += 1
+        records = to_wal(entries.withColumn("txn_id", F.lit(txn_id).cast("long"))).select(*WAL_SCHEMA.names)
+        ended = F.col("type") == COMMIT
+        try:
+            records.filter(~ended).write.parquet(segment)
+            records.filter(ended).coalesce(1).write.mode("append").parquet(segment)  # one record
+        except Exception:
+            rollback = [(0, ROLLBACK, txn_id, None, None, None, None, None)]
+            self.spark.createDataFrame(rollback, WAL_SCHEMA).coalesce(1).write.mode("append").parquet(segment)
+            raise
+        return segment
+
+
+def read_segments(spark: SparkSession, path: str, skip_torn: bool = True) -> DataFrame:
+    """All records of a log of segments. Files that can't be read, such as a torn last one, are left out or fail."""
+    return spark.read.schema(WAL_SCHEMA).option("ignoreCorruptFiles", str(skip_torn).lower()).option("recursiveFileLookup", "true").parquet(path)
