@@ -1,7 +1,7 @@
 """Operator 7, license scans: only DataFrame functions, no Python on the executors.
 
 A file's lines are compared with licence templates by the cosine of sparse TF-IDF
-vectors. Words are runs of a-z and 0-9 in lower case. Document frequencies of all
+vectors, a word's frequency counting as 1 + ln. Words are runs of a-z and 0-9 in lower case. Document frequencies of all
 template words are counted over all files; a word that no template has weighs as
 one that no file has, so that long prose lines score low.
 
@@ -51,6 +51,44 @@ TEMPLATES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    # whole notices and licences: compared with windows of as many words
+    (
+        "Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy '
+        "of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the "
+        'License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific '
+        "language governing permissions and limitations under the License.",
+    ),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in "
+        "binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials "
+        "provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission.",
+    ),
+    (
+        "GPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free "
+        "Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be "
+        "useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public "
+        "License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+        "copyright notice and this permission notice appear in all copies.",
+    ),
+    (
+        "MIT",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to '
+        "deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or "
+        "sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright "
+        "notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT "
+        "WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND "
+        "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+        "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
 ]
 THRESHOLD = 0.75
 SHORT_FILE = 40  # words
@@ -95,10 +133,12 @@ def own_license(files: DataFrame, threshold: float = THRESHOLD, templates: list[
     n, df = document_frequencies(files, vocabulary)
     idf = {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for w in vocabulary}
     unknown = math.log(1 + n) + 1
-    weights = [{w: k * idf[w] for w, k in v.items()} for _, v in vectors]
+    weights = [{w: (1 + math.log(k)) * idf[w] for w, k in v.items()} for _, v in vectors]
     heavies = [heavy(w, threshold) for w in weights]
     trigger = sorted(set().union(*heavies))
-    pattern = f"(?<![a-z0-9])(?:{'|'.join(trigger)})(?![a-z0-9])"
+    # words by their first letter, so that most places of a text are done with after one comparison
+    by_letter = {c: "|".join(w[1:] for w in trigger if w[0] == c) for c in sorted({w[0] for w in trigger})}
+    pattern = f"(?<![a-z0-9])(?:{'|'.join(f'{c}(?:{rest})' for c, rest in by_letter.items())})(?![a-z0-9])"
     idf_map = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, idf[w])])
 
     def weight_map(v: dict[str, float]) -> Column:
@@ -112,7 +152,7 @@ def own_license(files: DataFrame, threshold: float = THRESHOLD, templates: list[
     def scored(words: Column, against: Column = known) -> Column:
         tf = F.transform(F.array_distinct(words), lambda w: F.struct(
             w.alias("w"),
-            (F.size(F.filter(words, lambda x: x == w)) * F.coalesce(F.try_element_at(idf_map, w), F.lit(unknown))).alias("x"),
+            ((F.lit(1.0) + F.log(F.size(F.filter(words, lambda x: x == w)))) * F.coalesce(F.try_element_at(idf_map, w), F.lit(unknown))).alias("x"),
         ))
         norm = F.sqrt(F.aggregate(tf, F.lit(0.0), lambda a, t: a + t["x"] * t["x"]))
         return F.array_max(F.transform(against, lambda k: F.struct(
@@ -207,11 +247,11 @@ files as (select doc_id, text, coalesce(source, '') || '/' || coalesce(lang, '')
 n as (select count(*) as n from files),
 df as (select w, count(*) as df from (select distinct doc_id, unnest(regexp_extract_all(lower(text), {words})) as w from files) join vocabulary using (w) group by w),
 idf as (select w, ln((1 + n) / (1 + coalesce(df, 0))::double) + 1 as idf from vocabulary left join df using (w) cross join n),
-tv as (select rank, w, k * idf as x from tw join idf using (w)),
+tv as (select rank, w, (1 + ln(k)) * idf as x from tw join idf using (w)),
 tn as (select rank, sqrt(sum(x * x)) as norm from tv group by rank),
 lines as (select doc_id, row_number() over () as line, text from (select doc_id, unnest(string_split(text, chr(10))) as text from files where text is not null)),
 lw as (select doc_id, line, w, count(*) as k from (select doc_id, line, unnest(regexp_extract_all(lower(text), {words})) as w from lines) group by all),
-lv as (select doc_id, line, w, k * coalesce(idf, ln(1 + n::double) + 1) as x from lw left join idf using (w) cross join n),
+lv as (select doc_id, line, w, (1 + ln(k)) * coalesce(idf, ln(1 + n::double) + 1) as x from lw left join idf using (w) cross join n),
 ln as (select line, sqrt(sum(x * x)) as norm from lv group by line),
 cosine as (select doc_id, rank, round(sum(lv.x * tv.x) / (max(ln.norm) * max(tn.norm)), 4) as score from lv join tv using (w) join tn using (rank) join ln using (line) group by doc_id, line, rank),
 best as (select doc_id, score, name from (select *, row_number() over (partition by doc_id order by score desc, rank) as r from cosine where score >= {THRESHOLD}) join templates using (rank) where r = 1),

@@ -69,3 +69,17 @@ def test_columns_of_any_name_and_long_texts(spark):
     df = spark.createDataFrame([("a/b", long, *range(7), 9)], "path string, text string, " + ", ".join(f"{n} int" for n in names) + ", license int")
     got = license_scan(df).first()
     assert [got[n] for n in names] == list(range(7)) and got["license"] == "MIT" and not got["license_file"]
+
+
+def test_whole_licences_wrapped_with_other_lines(spark):
+    import textwrap
+
+    data, want = [], {}
+    for i, (name, text) in enumerate(TEMPLATES):
+        if len(text.split()) > 25:
+            body = textwrap.fill(text, 72, initial_indent=" * ", subsequent_indent=" * ")
+            data.append((f"p{i}/LICENSE", f"{name} license\n\nCopyright (c) 2021 some author\n\n{body}\n\nprose about other things " + "word " * 300))
+            data.append((f"p{i}/src/deep/x.py", "code " * 50))
+            want |= {f"p{i}/LICENSE": (name, "own"), f"p{i}/src/deep/x.py": (name, f"/p{i}")}
+    got = license_scan(spark.createDataFrame(data, "path string, text string")).collect()
+    assert {r["path"]: (r["license"], r["licensed_by"]) for r in got} == want and len(want) == 12
