@@ -19,22 +19,18 @@ def read_wal(spark: SparkSession, path: str, files_a_batch: int = 64) -> DataFra
 
 
 def _release(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Hold a transaction's entries until its commit; a rollback drops them."""
-    held = [tuple(r) for r in state.get[0]] if state.exists else []
+    """Hold a transaction's entries until its commit; a rollback drops them. The state is as large as an open transaction."""
     rows = pd.concat(list(frames)).sort_values("lsn")
     names = ENTRY_SCHEMA.names
-    ended = None
-    for r in rows.itertuples():
-        if r.type == ENTRY:
-            held.append((int(r.seq), int(r.kind), r.key, r.value if r.value is not None else None, r.range_end))
-        elif r.type in (COMMIT, ROLLBACK):
-            ended = r.type
-    if ended is None:
+    own = rows.loc[rows["type"] == ENTRY, names].astype({"seq": "int64", "kind": "int64"})
+    held = ([tuple(r) for r in state.get[0]] if state.exists else []) + list(own.itertuples(index=False, name=None))
+    ends = rows.loc[rows["type"].isin((COMMIT, ROLLBACK)), "type"]
+    if ends.empty:
         state.update((held,))
         return
     if state.exists:
         state.remove()
-    if ended == COMMIT and held:
+    if ends.iloc[-1] == COMMIT and held:
         yield pd.DataFrame(held, columns=names)
 
 
@@ -59,12 +55,11 @@ def tailed(spark: SparkSession, target: str) -> DataFrame:
 
 
 def _newest(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    best = tuple(state.get) if state.exists else None
-    for pdf in frames:
-        for r in pdf.itertuples():
-            row = (int(r.seq), int(r.kind), r.value)
-            if best is None or row[:2] >= tuple(best[:2]):
-                best = row
+    rows = pd.concat(list(frames)).sort_values(["seq", "kind"], kind="stable")
+    seq, kind, value = rows.iloc[-1][["seq", "kind", "value"]]
+    best = (int(seq), int(kind), value)
+    if state.exists and tuple(state.get)[:2] > best[:2]:
+        best = tuple(state.get)
     state.update(best)
     yield pd.DataFrame([(best[0], best[1], key[0], best[2])], columns=["seq", "kind", "key", "value"])
 
