@@ -188,7 +188,8 @@ def search(df: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vec_col:
     top = max(sizes, key=lambda r: (r["n"], -r["d"]))
     d = top["d"]
     rows = rows.filter(F.size("v") == d)
-    fitted = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).toArrow()
+    some = rows.select("vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).distinct()
+    fitted = rows.join(F.broadcast(some), "vec_id").groupBy("vec_id").agg(F.min("v").alias("v")).orderBy("vec_id").toArrow()  # at most `sample` ids
     x = np.asarray(fitted.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False), dtype=np.float32).reshape(-1, d)
     book = train(x, books, words, seed=seed)
 
