@@ -459,7 +459,8 @@ PART_ROWS, SAMPLE = 1 << 16, 8192
 def hot_buckets(sets: DataFrame, threshold: float, ratio: float, rows_a_part: int = PART_ROWS, sample: int = SAMPLE) -> DataFrame:
     """(bucket, parts) of the buckets that a sample of sets shows to be larger than a part: it sets the balance only."""
     number = sets.count()
-    some = sets.orderBy(F.xxhash64("rid"), "rid").limit(sample).select("rid", "n", "sig")
+    some = sets.select("rid").orderBy(F.xxhash64("rid"), "rid").limit(sample)
+    some = sets.join(F.broadcast(some), "rid").select("rid", "n", "sig")  # at most `sample` ids
     count = some.mapInArrow(tidied(_band(threshold, ratio)), BUCKETS).groupBy("bucket").count()
     scale = max(1.0, number / sample)
     found = count.withColumn("parts", F.ceil(F.col("count") * scale / rows_a_part).cast("int")).filter((F.col("parts") > 1) & (F.col("count") > 8))
