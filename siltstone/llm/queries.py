@@ -94,9 +94,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import licenses, mixing, suffix_dedup
+    from . import licenses, mixing, sharding, suffix_dedup
 
     return {
+        "op2_histogram_sort_sharding": sharding.oracle(),
         "op5_suffix_array_dedup": suffix_dedup.oracle(),
         "op7_license_scan": licenses.oracle(),
         "op10_pareto_mixing": mixing.oracle(),

@@ -112,3 +112,29 @@ def histogram_sort(df: DataFrame, shards: int = 24, tolerance: float = 0.02, pie
         })
     )
     return placed.select(*unpacked(columns), "size", "text_key", "shard", "slot")
+
+
+def crc32_table() -> list[int]:
+    out = []
+    for i in range(256):
+        for _ in range(8):
+            i = (i >> 1) ^ (0xEDB88320 if i & 1 else 0)
+        out.append(i)
+    return out
+
+
+def oracle(shards: int = 24, tolerance: float = 0.02) -> str:
+    """DuckDB SQL for the op2 query: running sizes in key order, and the nearest edge to each shard's exact end."""
+    return f"""
+with d as (select doc_id, text, coalesce(strlen(text), 0) + 8 as size, coalesce(('0x' || substr(md5(text), 1, 15))::bigint, -1) as key from documents),
+o as (select doc_id, key, size, row_number() over (order by key, doc_id nulls first) as r, sum(size) over (order by key, doc_id nulls first rows unbounded preceding) as upto from d),
+g as (select key, min(upto - size) as lo, max(upto) as hi, min(r) - 1 as r_lo, max(r) as r_hi from o group by key),
+w as (select j, (select sum(size) from d) * j / {float(shards)}::double as want, (select sum(size) from d) * {tolerance}::double / {shards} as slack from (select unnest(range(1, {shards})) as j)),
+edge as (select j, case when least(want - lo, hi - want) <= slack or r_hi - r_lo = 1 then case when want - lo <= hi - want then r_lo else r_hi end
+    else (select case when want - (upto - size) <= upto - want then r - 1 else r end from o where upto - size <= want and want < upto) end as e from w join g on lo <= want and want < hi),
+s as (select o.*, (select count(*) from edge where e < r) as shard, coalesce((select max(e) from edge where e < r), 0) as first from o),
+b as (select doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::bigint) as b from d where text is not null),
+crc as (select doc_id, xor(4294967295, list_reduce(list_concat([4294967295::bigint], b),
+    lambda c, x: xor(([{', '.join(map(str, crc32_table()))}]::bigint[])[xor(c & 255, x) + 1], c >> 8)))::bigint as text_crc32 from b)
+select s.doc_id, size::bigint as size, text_crc32, 'bytes' as law, shard::int as shard, (r - 1 - first)::bigint as slot, null::int as grown_shard from s left join crc using (doc_id)
+"""

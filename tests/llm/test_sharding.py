@@ -3,8 +3,9 @@ import zlib
 
 import pytest
 
-from siltstone.llm.queries import queries
+from siltstone.llm.queries import oracle_sql, queries
 from siltstone.llm.sharding import histogram_sort
+from tests.oracle import expect_same
 
 SCHEMA = "doc_id long, text string, shard string, _piece int"
 
@@ -66,6 +67,11 @@ def test_columns_of_any_name_pass_through(spark):
     assert len(got) == 2 and all([r[n] for n in names] == list(range(6)) and r["slot"] == 0 for r in got)
 
 
+def test_query_matches_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    expect_same(queries()["op2_histogram_sort_sharding"](spark, sf), oracle_sql()["op2_histogram_sort_sharding"], sf)
+
+
 def test_hot_group_is_cut_and_others_stay_whole(spark):
     data = [(i, "hot " * 20, None, None) for i in range(3000)] + [(10_000 + i, f"text {i % 900} " * 15, None, None) for i in range(3000)]
     got = rows(spark, data, shards=6)
