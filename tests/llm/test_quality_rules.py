@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter
 
@@ -29,7 +30,7 @@ def test_query_base_and_verdicts(spark):
     got = queries()["op6_ngram_quality_rules"](spark, sf).toPandas().set_index("doc_id")
     docs = spark.read.parquet(f"{sf}/documents.parquet").toPandas().set_index("doc_id")
     assert set(got.index) == set(docs.index)
-    for d, t in list(docs.text.items())[::7]:
+    for d, t in docs.text.items():
         r = got.loc[d]
         want = brute(t)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
@@ -41,6 +42,72 @@ def test_query_base_and_verdicts(spark):
     assert m[m.quality == 1].kept.mean() > 0.995 and m[m.quality == 0].kept.mean() < 0.1
 
 
+class BruteModel:
+    """Interpolated modified Kneser-Ney over byte 5-grams, in dictionaries."""
+
+    def __init__(self, raws, order=5):
+        self.order, levels = order, [Counter()]
+        for raw in raws:
+            x = bytes(order - 1) + raw + b"\0"
+            levels[0].update(x[i : i + order] for i in range(len(x) - order + 1))
+        for n in range(order - 1, 0, -1):
+            levels.append(Counter(g[1:] for g in levels[-1]))
+        self.levels = levels[::-1]
+        self.discount, self.total, self.kinds = [], [], []
+        for level in self.levels:
+            n = [0, *(sum(c == k for c in level.values()) for k in (1, 2, 3, 4))]
+            y = n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else 0.5
+            self.discount.append([0.0] + [min(max(k - (k + 1) * y * n[k + 1] / n[k] if n[k] else 0.5 * k, 0.05), k - 0.05) for k in (1, 2, 3)])
+            total, cut = Counter(), Counter()
+            for g, c in level.items():
+                total[g[:-1]] += c
+                cut[g[:-1]] += self.discount[-1][min(c, 3)]
+            self.total.append(total)
+            self.kinds.append(cut)
+        self.known = {}
+
+    def prob(self, gram):
+        if not gram:
+            return 1 / 257
+        if gram not in self.known:
+            n, context = len(gram) - 1, gram[:-1]
+            p = self.prob(gram[1:])
+            if context in self.total[n]:
+                c = self.levels[n].get(gram, 0)
+                p = (c - self.discount[n][min(c, 3)] + self.kinds[n][context] * p) / self.total[n][context]
+            self.known[gram] = p
+        return self.known[gram]
+
+    def log10_perplexity(self, raw):
+        x = bytes(self.order - 1) + raw + b"\0"
+        return -sum(math.log10(self.prob(x[i : i + self.order])) for i in range(len(raw) + 1)) / (len(raw) + 1)
+
+
+def test_perplexities_and_verdicts_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r["doc_id"], r["lang"], (r["text"] or "").encode()) for r in docs.collect()]
+    rows += [(10_000, "en", b"very long text, told again " * 20_000), (10_001, None, b"# $ % & | " * 30), (10_002, "en", b"")]
+    got = {r["doc_id"]: r for r in quality_rules(spark.createDataFrame([(d, g, x.decode()) for d, g, x in rows], "doc_id long, lang string, text string")).collect()}
+    few = lambda x: 50 * sum(x.count(c) for c in b"#*$%&|<>") <= len(x)
+    for lang in {g for _, g, _ in rows}:
+        own = [(d, x) for d, g, x in rows if g == lang]
+        model = BruteModel([x for _, x in own if few(x)] or [x for _, x in own])
+        value = {d: model.log10_perplexity(x) for d, x in own}
+        failed = {d: (lambda w: w[0] < 20 or 100 * w[4] > 30 * w[0])(brute(x.decode())) for d, x in own}
+        good = sorted(math.floor(value[d] * 2000 + 0.5) for d, _ in own if not failed[d])
+        middle = lambda v: sorted(v)[math.ceil(len(v) / 2) - 1]
+        mid = middle(good) if good else None
+        for d, x in own:
+            r = got[d]
+            assert abs(r["log10_perplexity"] - value[d]) < 1e-4 and r["base_failed"] == failed[d]
+            kept = False
+            if good and not failed[d]:
+                slack = 10 * 1.4826 * middle([abs(b - mid) for b in good]) / 2000 + 3 / math.sqrt(len(x) + 1)
+                away = abs(value[d] - mid / 2000) - slack
+                kept = r["kept"] if abs(away) < 0.01 else away <= 0  # a bin's width either way
+            assert r["kept"] == kept
+
+
 def test_odd_spaces_and_widths():
     texts = ["a b c d\x1ce\x85f", "x " * 9, "\n\n a\n a\na\n", "", "漢字 \U0001f600 é"]
     got = base_features([t.encode() for t in texts])
