@@ -50,3 +50,10 @@ def test_stages_take_empty_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).collect() == []
+
+
+def test_lazy_results_outlive_later_stages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    one = corpus_pipeline.near_dedup(spark, docs, SF)
+    two = corpus_pipeline.source_mix(spark, one, SF)
+    assert 0 < one.count() <= docs.count() and {r["doc_id"] for r in two.select("doc_id").collect()} <= {r["doc_id"] for r in one.select("doc_id").collect()}
