@@ -8,7 +8,7 @@ import pytest
 from siltstone.llm import minhash
 from siltstone.llm.graph import components
 from siltstone.llm.common import Scratch
-from siltstone.llm.minhash import least_jaccard, near_duplicates, partitions, tune, word_hashes
+from siltstone.llm.minhash import containments, least_jaccard, near_duplicates, partitions, tune, word_hashes
 from siltstone.llm.queries import queries
 
 
@@ -76,6 +76,45 @@ def test_large_buckets_lose_no_link(spark, monkeypatch, small, part, block):
     assert got == brute(texts)
 
 
+def pairs_at_the_threshold(number):
+    """Texts 2i and 2i + 1: 32 of 40 shingles of the one lie in the 80 of the other, which the bands miss now and then."""
+    rng = random.Random(3)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(n)]
+    texts = {}
+    for i in range(number):
+        own = words(44)
+        texts[2 * i], texts[2 * i + 1] = " ".join(own), " ".join(own[:36] + words(48))
+    return texts
+
+
+def test_no_link_at_the_threshold_is_left_out(spark):
+    texts = pairs_at_the_threshold(800)
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {d: d - d % 2 for d in texts}
+
+
+def test_links_that_the_signatures_rule_out_are_found(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "may_link", lambda n1, x1, n2, x2, threshold, ratio: np.zeros(np.broadcast(n1, n2).shape, dtype=bool))
+    texts = pairs_at_the_threshold(40)
+    texts |= {100 + i: " ".join([*texts[0].split()[: 44 - i], "x"]) for i in range(40)}  # at one shingle: more than 32 sets
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == brute(texts)
+
+
+def test_containments_beyond_the_ratio_are_reported(spark):
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    notice = words(44)
+    data = [(1, " ".join(notice)), (2, " ".join(notice)), (3, " ".join(notice[:-2] + ["x", "y"])), (4, "read on"), (5, None)]
+    data += [(10 + i, " ".join(words(60) + notice[: 36 - (i % 2)] + words(60))) for i in range(50)]  # 32 and 31 of 40 shingles
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in near_duplicates(df).collect()}
+    assert [got[d]["n_containers"] for d in (1, 2, 3, 4, 5)] == [25, 25, 25, 0, 0] and all(got[d]["n_containers"] == 0 for d in got if d >= 10)
+    assert [got[d]["class_id"] for d in (1, 2, 3, 4)] == [1, 1, 1, 4] and all(got[d]["class_id"] == d for d in got if d >= 10)
+    pairs = {(r["doc_id"], r["container_id"]): r["containment"] for r in containments(df).collect()}
+    assert pairs == {(d, 10 + i): 0.8 for d in (1, 3) for i in range(0, 50, 2)}
+
+
 def test_components(spark):
     n = 300
     links = [(i, i + 1) for i in range(n)] + [(1000, 1000 + i) for i in range(1, 50)] + [(5000, 4000)]
