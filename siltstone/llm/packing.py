@@ -12,7 +12,7 @@ Rests that no filling takes up without slack are cut at the end: `plan_bins` lay
 what remains end to end when that saves padding, as ids may be cut freely.
 
 Ranks need no sort of a whole length: they count within a write task, and the
-offsets of the tasks are running sums over one row per (length, task).
+offsets of the tasks are running sums over one row per (length, task), which go to the pieces as one array a task.
 
 Defined cases: null text is an empty text, whose ids are the end id alone; rows
 are packed as they come, repeated ones too; null doc_id is kept; no rows, no
@@ -260,12 +260,16 @@ def pack(df: DataFrame, tokenizer: str, ranks: str | None = None, window: int =
     for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect():
         counts[r["length"]] = r["n"]
     where, runs, first_tail, tail_total = _layout(plan_bins(counts, window), window)
+    # per task an array of the ranks where its pieces of each length begin: one row a task, so that pieces are never sorted to their offsets
+    every = by_task.select("task").distinct().crossJoin(F.broadcast(scratch.spark.range(1, window + 1).select(F.col("id").cast("int").alias("length"))))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = by_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
+    skips = every.join(by_task, ["task", "length"], "left").select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
+    offsets = skips.groupBy("task").agg(F.array_sort(F.collect_list(F.struct("length", "skip"))).getField("skip").alias("skips"))
+    offsets = scratch.keep(offsets, "offsets")
     place = tidied(_place(where, runs, first_tail, tail_total, window))
 
     def ranked(x: DataFrame) -> DataFrame:
-        return x.join(offsets, ["length", "task"]).withColumn("rank", F.col("skip") + F.col("lrank"))
+        return x.join(F.broadcast(offsets), "task").withColumn("rank", F.element_at("skips", F.col("length")) + F.col("lrank")).drop("skips")
 
     if ids:
         placed = ranked(pieces).mapInArrow(place, PLACED)

@@ -75,3 +75,15 @@ def test_edge_rows(spark):
     twice = pack(df.union(df), FILE, RANKS).toPandas()
     assert twice.groupby(["sequence_id", "offset"]).size().max() == 1
     assert pack(df.limit(0), FILE, RANKS).toPandas().empty
+
+
+def test_pieces_are_not_sorted_to_their_offsets(spark):
+    docs = spark.createDataFrame([(i, "a b c " * i) for i in range(50)], "doc_id long, text string")
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if offsets of many tasks were too large
+    try:
+        out = pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.count() >= 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
