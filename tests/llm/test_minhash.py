@@ -115,6 +115,46 @@ def test_containments_beyond_the_ratio_are_reported(spark):
     assert pairs == {(d, 10 + i): 0.8 for d in (1, 3) for i in range(0, 50, 2)}
 
 
+def shuffled_bytes(spark):
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    gateway = spark.sparkContext._gateway
+    stages = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+
+def test_texts_that_are_like_no_other_stay_where_they_are(spark):
+    rng = random.Random(11)
+    data = [(i, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(1500))) for i in range(300)]
+    data.append((300, data[0][1] + " more"))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    before, limit = shuffled_bytes(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = near_duplicates(df, columns=["doc_id"]).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert {r["doc_id"]: r["class_id"] for r in got} == {d: d % 300 for d, _ in data}
+    moved = sum(v for k, v in shuffled_bytes(spark).items() if k not in before)
+    assert moved < 1.3 * sum(len(t) for _, t in data), moved  # the shingles' 5 bytes a word once, and the rest is small
+
+
+@pytest.mark.parametrize("words", [1 << 20, 0])
+def test_chosen_rows(spark, words):
+    ids = [0, 1, 63, 64, 127, (5 << 33) + 62, (5 << 33) + 63, 1 << 62]
+    rows = spark.createDataFrame([(i + k, f"t{i + k}") for i in ids for k in (0, 1, 64)], "rid long, raw string").distinct()
+    got = minhash.chosen(rows, spark.createDataFrame([(i,) for i in ids + ids], "rid long"), Scratch(spark), "test", words)
+    assert sorted(r["rid"] for r in got.collect()) == ids and got.columns == ["rid", "raw"]
+
+
+@pytest.mark.parametrize("family", [256, 3])
+def test_pairs_are_checked_by_families(spark, family):
+    pairs = [(0, 1), (1, 2), (0, 2), (10, 11), (20, 21), (21, 22), (22, 23), (20, 24)]
+    scratch = Scratch(spark)
+    got = {(r["a"], r["b"]): r["bucket"] for r in minhash.gathered(spark.createDataFrame(pairs, "a long, b long"), scratch, "test", family).collect()}
+    assert got == {(a, b): (a // 10 * 10 if family > 5 or a < 20 else b) for a, b in pairs}
+
+
 def test_components(spark):
     n = 300
     links = [(i, i + 1) for i in range(n)] + [(1000, 1000 + i) for i in range(1, 50)] + [(5000, 4000)]
