@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import Scratch, table
-from siltstone.llm.minhash import near_duplicates
+from siltstone.llm.minhash import distinct_texts
 from siltstone.llm.mixing import mix
 from siltstone.llm.packing import pack
 from siltstone.llm.quality_rules import quality_rules
@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
     """One document of each class of near-duplicates, that with the least doc_id."""
-    return near_duplicates(docs, scratch=scratch).filter("keep").select(*docs.columns)
+    return distinct_texts(docs, scratch=scratch).select(*docs.columns)
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:

@@ -5,10 +5,11 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from siltstone.llm import minhash
 from siltstone.llm.graph import components
 from siltstone.llm.common import Scratch
-from siltstone.llm.minhash import containments, least_jaccard, near_duplicates, partitions, tune, word_hashes
+from siltstone.llm.minhash import containments, distinct_texts, least_jaccard, near_duplicates, partitions, tune, word_hashes
 from siltstone.llm.queries import queries
 
 
@@ -139,6 +140,26 @@ def test_texts_that_are_like_no_other_stay_where_they_are(spark):
     assert moved < 1.3 * sum(len(t) for _, t in data), moved  # the shingles' 5 bytes a word once, and the rest is small
 
 
+def test_kept_rows_are_written_without_an_exchange(spark, tmp_path):
+    data = [(d, t, d, "x", d % 2 == 0) for d, t in pairs_at_the_threshold(20).items()] + [(None, "a b", 1, "y", True), (None, "A b", 1, "y", True), (7000, None, 1, "y", None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, rid int, row string, keep boolean")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = corpus_pipeline.near_dedup(spark, df, "")
+        known = shuffled_bytes(spark)
+        before.write.parquet(str(tmp_path / "out"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sum(v for k, v in shuffled_bytes(spark).items() if k not in known) == 0
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.columns == df.columns
+    rows = sorted(map(tuple, got.collect()), key=str)
+    assert rows == sorted(([(d, t, *x) for d, t, *x in data if d is not None and (d >= 7000 or d % 2 == 0)] + [r for r in rows if r[0] is None]), key=str)
+    assert [r[2:] for r in rows if r[0] is None] == [(1, "y", True)]
+    assert sorted(r["doc_id"] or -1 for r in distinct_texts(df.drop("keep")).collect()) == sorted(r[0] or -1 for r in rows)
+
+
 @pytest.mark.parametrize("words", [1 << 20, 0])
 def test_chosen_rows(spark, words):
     ids = [0, 1, 63, 64, 127, (5 << 33) + 62, (5 << 33) + 63, 1 << 62]
