@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, packed, small, tidied, unpacked
+from .common import Scratch, give_back, packed, small, tidied, unpacked
 from .ngrams import HashArray, count_ngrams, gathered, runs, shorter, slabs
 
 ORDER = 5
@@ -129,7 +129,10 @@ def fit(df: DataFrame, order: int = ORDER, scratch: Scratch | None = None) -> Kn
         if n > 1:
             level = scratch.keep(shorter(level, n), f"grams{n - 1}")
     scratch.drop("bare", *(f"grams{n}" for n in range(1, order + 1)))
-    return KneserNey(levels[::-1]) if levels[0] else None
+    model = KneserNey(levels[::-1]) if levels[0] else None
+    del levels
+    give_back()
+    return model
 
 
 def repeated_words(words: list[list[bytes]], width: int = 8) -> np.ndarray:
@@ -239,6 +242,8 @@ def quality_rules(df: DataFrame, columns: list[str] | None = None, width: float
     source = df.select(packed(columns).alias("row"), g, raw)
     schema = T.StructType([f for f in source.schema if f.name != "raw"] + list(T._parse_datatype_string(FEATURES)))
     scored = scratch.keep(source.mapInArrow(tidied(_features(model, schema)), schema), "scored")
+    del model  # the workers had it; the driver needs the memory for the plans that follow
+    give_back()
     found = bands(scored, width, short)
     limits = small(df.sparkSession, [(k, m, s) for k, (m, s) in found.items()], "g string, mid double, dev double")
     slack = F.col("dev") * width + F.lit(short) / F.sqrt(F.col("n_bytes") + 1)

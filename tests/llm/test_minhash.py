@@ -160,6 +160,31 @@ def test_kept_rows_are_written_without_an_exchange(spark, tmp_path):
     assert sorted(r["doc_id"] or -1 for r in distinct_texts(df.drop("keep")).collect()) == sorted(r[0] or -1 for r in rows)
 
 
+def plans(spark):
+    """The number of joins of each query so far that the driver keeps the plan of."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    found, joins = store.executionsList(), {}
+    for i in range(found.size()):
+        nodes = store.planGraph(k := found.apply(i).executionId()).allNodes()
+        joins[k] = sum(nodes.apply(j).name().endswith("Join") for j in range(nodes.size()))
+    return joins
+
+
+def test_driver_holds_few_and_small_plans(spark):
+    # near copies, and passages of texts twice their size: pairs to check on either way
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    data = []
+    for i in range(60):
+        base = [word() for _ in range(60)]
+        data += [(4 * i, " ".join(base)), (4 * i + 1, " ".join(base[:-1] + [word()])), (4 * i + 2, " ".join(base + [word() for _ in range(120)])), (4 * i + 3, word())]
+    before = plans(spark)
+    got = near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert all(r["class_id"] == r["doc_id"] - (r["doc_id"] % 4 == 1) and r["n_containers"] == (r["doc_id"] % 4 < 2) for r in got)
+    joins = {k: n for k, n in plans(spark).items() if k not in before}
+    assert max(joins.values()) <= 8 and len(joins) <= 60, (max(joins.values()), len(joins))
+
+
 @pytest.mark.parametrize("words", [1 << 20, 0])
 def test_chosen_rows(spark, words):
     ids = [0, 1, 63, 64, 127, (5 << 33) + 62, (5 << 33) + 63, 1 << 62]
